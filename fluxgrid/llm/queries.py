@@ -39,8 +39,8 @@ def op1_sql() -> str:
     ), parts AS (
       SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base
-    ), at AS (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM parts WHERE len(words) >= 3
-    ), win AS (SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM at
+    ), spots AS (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM parts WHERE len(words) >= 3
+    ), win AS (SELECT rid, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c FROM spots
     ), twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM win) WHERE n > 1
     ), covered AS (
       SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid
