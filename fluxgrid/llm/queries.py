@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.llm import quality_rules
+from fluxgrid.llm import bpe, media_ogg, quality_rules, rule_classifier, token_output
 from fluxgrid.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,50 @@ def op1_sql() -> str:
     FROM ratios"""
 
 
-QUERIES: dict[str, Query] = {"op1_quality_rules": op1_quality_rules}
+def tokenizer_path() -> str:
+    """Place of the public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
+#: A document is kept when its score reaches this.
+QUALITY_THRESHOLD = 0.3
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by rules learnt from the rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = rule_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rule_classifier.score(docs, model).select(
+        "doc_id",
+        (rule_classifier.fold(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op6_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an Ogg file, read back."""
+    return media_ogg.features(media_ogg.store_texts(documents(spark, sf_dir)))
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files written in order of doc_id, then read back."""
+    return token_output.index(spark, token_output.write(documents(spark, sf_dir), tokenizer_path()))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_bpe": op3_bpe,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_media_ogg": op6_media_ogg,
+    "op7_token_output": op7_token_output,
+}
 
 ORACLES: dict[str, str] = {"op1_quality_rules": op1_sql()}
