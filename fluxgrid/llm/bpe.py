@@ -210,25 +210,26 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def round_trip(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
+    """Encode and decode in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids on demand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = coder(path)
-            n, ids_sha, text_sha = [], [], []
-            for t in utf8_rows(b):
-                ids = c.encode(t)
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            rows = [c.encode(t) for t in utf8_rows(b)]
+            out = {
+                "doc_id": b.column("doc_id"),
+                "n_tokens": pa.array([len(r) // 4 for r in rows], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in rows], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(c.decode(r)).hexdigest() for r in rows], pa.string()),
+            }
+            if with_ids:
+                out["ids"] = list_array(rows)
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     rows = id_text(docs, id_col, text_col)
-    return rows.mapInArrow(
-        run,
-        f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    tail = ", ids array<int>" if with_ids else ""
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{tail}")

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgrid.llm import bpe, media_ogg, quality_rules, rule_classifier, token_output
+from fluxgrid.llm import (
+    bpe,
+    licences,
+    media_ogg,
+    mixing,
+    pii,
+    quality_rules,
+    rule_classifier,
+    simhash,
+    substring_dedup,
+    token_output,
+)
 from fluxgrid.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +71,22 @@ def op1_sql() -> str:
     FROM ratios"""
 
 
+#: Production mix: 99 % of the largest entropy unless a source would be read more than twice.
+MIX = mixing.Mix()
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is drawn, with the weights of its source."""
+    return mixing.drawn(documents(spark, sf_dir).select("doc_id", "text", "source"), MIX).select(
+        "doc.doc_id",
+        "doc.source",
+        F.round("share", 6).alias("share"),
+        F.round("weight", 6).alias("weight"),
+        F.round("epochs", 6).alias("epochs"),
+        "n_copies",
+    )
+
+
 def tokenizer_path() -> str:
     """Place of the public vocabulary file."""
     import public_tokenizers
@@ -98,12 +125,42 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.index(spark, token_output.write(documents(spark, sf_dir), tokenizer_path()))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms, and how many values of each kind it had."""
+    docs = documents(spark, sf_dir)
+    return docs.select(
+        "doc_id", pii.masked(F.col("text")).alias("text"), *pii.counts(docs)
+    )
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(documents(spark, sf_dir)).select(
+        "doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id"
+    )
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated passages leave of every document."""
+    return substring_dedup.removed(documents(spark, sf_dir))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of whole texts and single lines of every document."""
+    return licences.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_pii": op5_pii,
     "op6_media_ogg": op6_media_ogg,
     "op7_token_output": op7_token_output,
+    "op8_simhash": op8_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_licences": op10_licences,
 }
 
-ORACLES: dict[str, str] = {"op1_quality_rules": op1_sql()}
+ORACLES: dict[str, str] = {"op1_quality_rules": op1_sql(), "op10_licences": licences.sql()}

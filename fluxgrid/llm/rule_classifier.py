@@ -156,11 +156,11 @@ def held_rows(terms, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow(x, residual, hessian, cuts, rows, depth, terms, out) -> None:
+def grow(x, residual, hessian, cuts, rows, depth, terms, out, leaf) -> None:
     """Split greedily by gain; every node's path is appended to ``out`` with its rows."""
     if terms:
         out.append((tuple(terms), rows))
-    if depth == 0 or len(rows) < 40:
+    if depth == 0 or len(rows) < 2 * leaf:
         return
     r, h = residual[rows], hessian[rows]
     total, weight, best = r.sum(), h.sum() + 1, (1e-6, None, None)
@@ -169,7 +169,7 @@ def grow(x, residual, hessian, cuts, rows, depth, terms, out) -> None:
         for c in cuts[k]:
             left = v <= c
             n = int(left.sum())
-            if n < 15 or len(rows) - n < 15:
+            if n < leaf or len(rows) - n < leaf:
                 continue
             a, b = r[left].sum(), h[left].sum() + 1
             gain = a * a / b + (total - a) ** 2 / (weight - b + 1) - total * total / weight
@@ -180,13 +180,14 @@ def grow(x, residual, hessian, cuts, rows, depth, terms, out) -> None:
     _, k, c = best
     left = x[rows, k] <= c
     for upper, part in ((True, rows[left]), (False, rows[~left])):
-        grow(x, residual, hessian, cuts, part, depth - 1, [*terms, (STATS[k], upper, float(c))], out)
+        grow(x, residual, hessian, cuts, part, depth - 1, [*terms, (STATS[k], upper, float(c))], out, leaf)
 
 
 def tree_rules(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rng) -> list:
     """Paths of boosted trees over random halves of the rows and subsets of the statistics."""
     score = np.zeros(len(y))
     found: dict[tuple, None] = {}
+    leaf = max(3, len(y) // 500)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
         residual, hessian = y - p, np.maximum(p * (1 - p), 1e-3)
@@ -197,7 +198,7 @@ def tree_rules(x: np.ndarray, y: np.ndarray, trees: int, depth: int, rng) -> lis
             for k in range(x.shape[1])
         ]
         out: list = []
-        grow(x, residual, hessian, cuts, rows, depth, [], out)
+        grow(x, residual, hessian, cuts, rows, depth, [], out, leaf)
         paths = [t for t, _ in out]
         for terms in paths:
             found[terms] = None
