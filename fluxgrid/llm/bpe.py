@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
@@ -25,14 +26,29 @@ from pyspark.sql import DataFrame
 
 from fluxgrid.llm.common import id_text
 
-#: Entries that a worker keeps; with keys and values some 150 bytes each.
-MAX_WORDS, MAX_PIECES = 300_000, 400_000
+#: Entries that a worker keeps twice at most (two generations); with keys and values some 200 bytes each.
+MAX_WORDS, MAX_PIECES = 300_000, 300_000
 
 PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 )
 
 
+#: A stop or comma at the end of a word of letters and digits of ASCII and Latin-1; it is a piece of its own.
+STOPS = re.compile(
+    rb"[.,](?:(?<=[a-z0-9][.,])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))(?![^\x09-\x0d\x20])"
+)
+
+
+def cache_words(text: bytes) -> list[bytes]:
+    """Words between white space in lower case (ASCII), stops apart, so that few words differ.
+
+    Pieces stay the same: lower case comes before pieces anyway, and such a stop never joins another piece.
+    A text that may hold special tokens, which are matched in their case, is only split.
+    """
+    return text.split() if b"<|" in text else STOPS.sub(rb" \g<0>", text.lower()).split()
+
+
 def byte_letters() -> list[str]:
     """Printable stand-in of each byte: printable Latin-1 stays, others move to 256 and up in order."""
     keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -49,7 +65,12 @@ def normal_pieces(text: str) -> list[str]:
     """Pieces of a text without special tokens, normalised and in lower case."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
-    return PIECES.findall(lowered(text))
+    text = lowered(text)
+    if text.isalpha():  # most words are letters, perhaps with a stop behind
+        return [text]
+    if text[-1:] in {".", ","} and text[:-1].isalpha():
+        return [text[:-1], text[-1]]
+    return PIECES.findall(text)
 
 
 class Vocabulary:
@@ -101,32 +122,27 @@ class Vocabulary:
         return [s for s in symbols if s >= 0]
 
 
-class PieceCache(dict):
-    """Piece -> packed ids, computed by ``encode`` when missing."""
+class Cache(dict):
+    """key -> value, computed when missing; the generation before the present one is kept for its common keys."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, compute: Callable, most: int):
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
+        self.compute, self.most, self.before = compute, most, {}
+
+    def __missing__(self, key):
+        out = self.before.get(key)
+        if out is None:
+            out = self.compute(key)
+        if len(self) >= self.most:
+            self.before = self.copy()
             self.clear()
-        out = self[piece] = array("I", self.encode(piece)).tobytes()
+        self[key] = out
         return out
 
 
-class WordCache(dict):
-    """UTF-8 word without white space -> packed ids, computed by ``encode`` when missing."""
-
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        out = self[word] = self.encode(word.decode())
-        return out
+def packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes()
 
 
 class Coder:
@@ -134,8 +150,8 @@ class Coder:
 
     def __init__(self, path: str):
         self.vocabulary = v = Vocabulary(path)
-        self.pieces = PieceCache(v.merged)
-        self.words = WordCache(self.word)
+        self.pieces = Cache(lambda piece: packed(v.merged(piece)), MAX_PIECES)
+        self.words = Cache(lambda word: self.word(word.decode()), MAX_WORDS)
         self.strings = [v.tokens.get(i, "").encode() for i in range(max(v.tokens) + 1)]
 
     def word(self, word: str) -> bytes:
@@ -146,14 +162,14 @@ class Coder:
         out = []
         for part in v.special_split.split(word):
             if part in v.specials:
-                out.append(array("I", [v.specials[part]]).tobytes())
+                out.append(packed([v.specials[part]]))
             elif part:
                 out += map(self.pieces.__getitem__, normal_pieces(part))
         return b"".join(out)
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole UTF-8 text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, cache_words(text)))
 
     def decode(self, ids: bytes) -> bytes:
         """Vocabulary strings of packed ids, joined by one space as the file names no decoder."""

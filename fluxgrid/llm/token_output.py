@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxgrid.llm.bpe import WordCache, PieceCache, list_array, normal_pieces, utf8_rows
+from fluxgrid.llm.bpe import MAX_PIECES, MAX_WORDS, Cache, byte_letters, cache_words, list_array, normal_pieces, packed, utf8_rows
 from fluxgrid.llm.common import id_text, store
 
 END_ID = 1
@@ -32,10 +32,10 @@ FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
 }
 
-_encoders: dict[str, WordCache] = {}
+_encoders: dict[str, Cache] = {}
 
 
-def library_words(path: str) -> WordCache:
+def library_words(path: str) -> Cache:
     """Word -> packed ids by the tokenizers library; one cache for each file and worker."""
     if path not in _encoders:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,16 +44,23 @@ def library_words(path: str) -> WordCache:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-        pieces = PieceCache(ids)
+        ids = lambda text: packed(tokenizer.encode(text, add_special_tokens=False).ids)
+        model, letters = tokenizer.model, byte_letters()
 
-        def word(text: str) -> bytes:
-            if text.isascii() and "<|" not in text:
-                # the library splits such a word at the same places
-                return b"".join(map(pieces.__getitem__, normal_pieces(text)))
-            return np.asarray(ids(text), "<u4").tobytes()
+        def piece_ids(piece: str) -> bytes:
+            return packed([t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))])
 
-        _encoders[path] = WordCache(word)
+        pieces = Cache(piece_ids, MAX_PIECES)
+
+        def word(data: bytes) -> bytes:
+            text = data.decode()
+            # the library normalises letters of Latin-1 alike and splits such a word at the same places
+            if data.isascii() or (text.isalpha() and max(text) <= "\u00ff"):
+                if "<|" not in text:
+                    return b"".join(map(pieces.__getitem__, normal_pieces(text)))
+            return ids(text)
+
+        _encoders[path] = Cache(word, MAX_WORDS)
     return _encoders[path]
 
 
@@ -64,7 +71,7 @@ def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             known = library_words(path)
-            rows = [b"".join(map(known.__getitem__, t.split())) + tail for t in utf8_rows(b)]
+            rows = [b"".join(map(known.__getitem__, cache_words(t))) + tail for t in utf8_rows(b)]
             n = pa.array([len(r) // 4 for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, list_array(rows)], ["doc_id", "n_tokens", "ids"])
 
