@@ -1,0 +1,211 @@
+"""Quality rules, classifier, coder, token files, media, pseudonyms, licences against plain versions."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from fluxgrid.llm import bpe, licences, media_ogg, pii, quality_rules, rule_classifier, token_output
+from fluxgrid.llm import queries as Q
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def by_text(frame, odd, *names):
+    """doc_id -> values, as lists where ids repeat."""
+    out = {}
+    for r in frame.collect():
+        out.setdefault(r.doc_id, []).append(tuple(r[n] for n in names))
+    return out
+
+
+def test_rules_against_counts(odd, odd_rows):
+    found = by_text(quality_rules.apply_rules(odd), odd, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    for d, t in odd_rows:
+        w = re.findall(WORD, t or "")
+        c = Counter(zip(w, w[1:], w[2:]))
+        cover = set()
+        for i in range(len(w) - 2):
+            if c[w[i], w[i + 1], w[i + 2]] > 1:
+                cover |= {i, i + 1, i + 2}
+        base = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        lines = [x for x in (t or "").split("\n") if re.search(WORD, x)]
+        want = (len(w), sum(map(len, w)), sum((t or "").count(s) for s in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover), base)
+        assert all(x[:6] == want for x in found[d]), d
+        assert not any(x[6] for x in found[d] if base)
+
+
+def test_rules_of_one_table(spark):
+    docs = spark.createDataFrame([(1, "the " + " ".join(f"w{k}" for k in range(60)))], "doc_id long, text string")
+    none = quality_rules.apply_rules(docs, ()).first()
+    strict = quality_rules.apply_rules(docs, (quality_rules.Rule("many", "n_words", high=10),)).first()
+    assert none.kept and not strict.kept and strict.failed_rules == "many"
+
+
+def test_coder_equals_library(odd, odd_rows):
+    library = Tokenizer.from_file(PATH)
+    found = by_text(bpe.round_trip(odd, PATH), odd, "n_tokens", "ids_sha256", "decoded_sha256")
+    ids = by_text(bpe.encode(odd, PATH), odd, "ids")
+    for d, t in odd_rows:
+        want = library.encode(t or "", add_special_tokens=False).ids
+        text = library.decode(want, skip_special_tokens=False)
+        packed = np.asarray(want, "<u4").tobytes()
+        assert (len(want), hashlib.sha256(packed).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) in found[d]
+        assert want in [x[0] for x in ids[d]]
+    decoded = by_text(bpe.decode(bpe.encode(odd, PATH), PATH), odd, "text")
+    assert decoded[17] == [(library.decode(library.encode(dict(odd_rows)[17], add_special_tokens=False).ids, skip_special_tokens=False),)]
+
+
+def test_merge_takes_the_lowest_rank_first():
+    v = bpe.Vocabulary(PATH)
+    library = Tokenizer.from_file(PATH)
+    for piece in ("internationalisation", "aaaaaaaaaaaa", "the", "q", "zzxzzxzzx", "été"):
+        assert v.merged(piece) == library.encode(piece, add_special_tokens=False).ids
+
+
+def test_small_caches_change_nothing(odd_rows):
+    c = bpe.Coder(PATH)
+    want = [c.encode((t or "").encode()) for _, t in odd_rows]
+    c.words.most = c.pieces.most = 3
+    assert [c.encode((t or "").encode()) for _, t in odd_rows] == want
+
+
+def test_token_files(spark, odd, odd_rows):
+    library = Tokenizer.from_file(PATH)
+    folder = token_output.write(odd, PATH)
+    found = sorted(token_output.index(spark, folder).collect(), key=lambda r: r.start)
+    rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    start = 0
+    for r, (d, t) in zip(found, rows, strict=True):
+        ids = np.asarray([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert {r.doc_id for r in token_output.token_ids(spark, folder, 4, 6).collect()} == {4, 5, 6}
+
+
+def test_media_round_trip(odd, odd_rows):
+    found = by_text(media_ogg.features(media_ogg.store_texts(odd)), odd, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+    for d, t in odd_rows:
+        raw = (t or "").encode()
+        pay = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        assert (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:])) in found[d]
+
+
+def test_media_times_and_faults():
+    payload = bytes(range(256)) * 9 * 64
+    media = media_ogg.store_payload(payload)
+    back, packets, streams = media_ogg.read_payload(media)
+    assert back == payload and len(streams) == 2 and {p.serial for p in packets} == {1, 2}
+    assert [p.start for p in packets] == list(range(0, len(payload), 576))
+    for at in (30, len(media) // 2):
+        broken = media[:at] + bytes([media[at] ^ 1]) + media[at + 1 :]
+        with pytest.raises(ValueError):
+            media_ogg.read_payload(broken)
+    with pytest.raises(ValueError):
+        media_ogg.read_payload(media[:-10])
+
+
+def test_media_checksum_by_definition():
+    data, crc = b"OggS and more \x00\xff", 0
+    for b in data:
+        crc ^= b << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    assert media_ogg.checksum(data) == crc
+
+
+def test_packets_over_pages():
+    big = bytes(255) * 300 + b"end"
+    writer = media_ogg.Stream(7)
+    media = b"".join(writer.pages([b"head"], 0)) + b"".join(writer.pages([big, b"x" * 255], len(big) + 255, last=True))
+    packets, streams = media_ogg.demultiplex(media)
+    assert [p.data for p in packets] == [big, b"x" * 255] and streams[7].pages == 3 and packets[1].start == len(big)
+
+
+PRIVATE = (
+    "Call +1 (838) 555-7235, mail Ann.99@mail3.example.com or ANN.99@MAIL3.EXAMPLE.COM; host 8.252.9.145 not 999.1.2.3, "
+    "card 4111111111111111 other 4111111111111112, born 1990-02-28 not 1990-02-30, 28.02.1990, "
+    "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" version 3. 12 items"
+)
+
+
+def luhn(digits):
+    total = sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(digits))))
+    return total % 10 == 0
+
+
+def test_pseudonyms_keep_format_and_links(spark):
+    docs = spark.createDataFrame([(1, PRIVATE), (2, "see 8.252.9.145 and 4111111111111111"), (3, None), (4, ""), (5, "plain 3. text 12")], "doc_id long, text string")
+    found = {r.doc_id: r.text for r in pii.pseudonymise(docs).collect()}
+    assert found[3] is None and found[4] == "" and found[5] == "plain 3. text 12"
+    new = found[1]
+    for value in ("555-7235", "Ann.99", "ANN.99", "8.252.9.145", "4111111111111111", "4111111111111112", "1990-02-28", "28.02.1990", "04dbebab"):
+        assert value not in new, value
+    assert "999.1.2.3" in new and "1990-02-30" in new and "version 3. 12 items" in new
+    mails = re.findall(r"\S+@\S+\.com", new, re.I)
+    assert mails[0].lower() == mails[1].lower() and mails[1].endswith(".COM") and mails[1].isupper()
+    address = re.search(r"host (\S+) not", new)[1]
+    assert all(0 <= int(x) < 256 for x in address.split("."))
+    cards = re.findall(r"(?:card|other) (\d{16})", new)
+    assert luhn(cards[0]) and not luhn(cards[1])
+    assert address in found[2] and cards[0] in found[2]
+    assert re.search(r'token = "[0-9a-f]{40}"', new) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)
+    assert re.search(r"born \d{4}-\d{2}-\d{2} not", new)
+
+
+def test_permutations_are_one_to_one(spark):
+    key = F.lit("k")
+    rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
+    assert rows.select(pii.permuted(F.col("v"), "t", key).alias("w")).distinct().count() == 1000
+    days = spark.range(0, 73000, 7).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("v"))
+    new = days.select(pii.date(F.col("v"), key).alias("w"))
+    assert new.distinct().count() == days.count() and new.where(F.col("w").try_cast("date").isNull()).count() == 0
+
+
+def test_licences(spark):
+    mit = "MIT Licence\n\nCopyright (c) 2020 Somebody\n\n" + licences.MIT.replace("sublicense", "sublicence").replace(" to any", ",\n to  any")
+    docs = [(1, mit), (2, "intro\n * Released under the MIT licence!\nLicensed under CC BY-NC 4.0."), (3, None), (4, "plain"), (4, "plain"), (5, licences.BSD_HEAD + licences.BSD_TAIL)]
+    rows = licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {r.doc_id: (r.licence, r.notices, r.n_notices) for r in rows}
+    assert len(rows) == 6
+    assert found[1][0] == "MIT" and found[2] == (None, "CC-BY-NC-4.0,MIT", 2) and found[3] == (None, "", 0) and found[5][0] == "BSD-2-Clause"
+
+
+def test_classifier_learns_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = Q.op4_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
+
+
+def test_classifier_expressions_equal_rows(odd):
+    rng = np.random.default_rng(1)
+    x = rng.random((400, len(rule_classifier.STATS)))
+    y = ((x[:, 2] > 0.5) & (x[:, 5] < 0.7)).astype(float)
+    model = rule_classifier.fit_rows(x, y)
+    assert ((model.score_rows(x) >= 0.5) == (y == 1)).mean() > 0.95 and model.rules
+    stats = {r.doc_id: [r[s] for s in rule_classifier.STATS] for r in rule_classifier.statistics(odd).collect()}
+    score = {r.doc_id: r.score for r in rule_classifier.score(odd, model).collect()}
+    for d, s in score.items():
+        assert abs(s - model.score_rows(np.array([stats[d]]))[0]) < 1e-9 and 0 <= s <= 1
+
+
+def test_classifier_without_labels(odd, spark):
+    empty = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
+    model = rule_classifier.fit(odd, empty)
+    assert model.rules == () and {round(r.score, 3) for r in rule_classifier.score(odd, model).collect()} == {0.5}
+
+
+def test_empty_tables(spark, nothing):
+    assert quality_rules.apply_rules(nothing).count() == 0
+    assert bpe.round_trip(nothing, PATH).count() == 0
+    assert token_output.index(spark, token_output.write(nothing, PATH)).count() == 0
+    assert media_ogg.features(media_ogg.store_texts(nothing)).count() == 0
+    assert pii.pseudonymise(nothing).count() == 0
+    assert licences.scan(nothing).count() == 0
