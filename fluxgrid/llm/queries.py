@@ -163,4 +163,8 @@ QUERIES: dict[str, Query] = {
     "op10_licences": op10_licences,
 }
 
-ORACLES: dict[str, str] = {"op1_quality_rules": op1_sql(), "op10_licences": licences.sql()}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": op1_sql(),
+    "op2_mixing": mixing.sql(MIX),
+    "op10_licences": licences.sql(),
+}
