@@ -107,7 +107,7 @@ def read_raw(spark: SparkSession, path: str, width: int = 1, kind: str = "float"
                 index = np.arange(len(values), dtype=np.int64) + start
                 yield pa.RecordBatch.from_arrays([pa.array(index), *[pa.array(values[:, k]) for k in range(width)]], ["_i", *names])
 
-    rows = files.join(F.broadcast(starts), F.col("path") == F.col("_path")).select("content", "_start")
+    rows = files.join(starts, F.col("path") == F.col("_path")).select("content", "_start")
     df = rows.mapInArrow(run, "_i long, " + ", ".join(f"{n} double" for n in names))
     return Numbers(df, tuple(names), "double").cast(kind)
 
