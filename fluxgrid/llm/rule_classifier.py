@@ -260,5 +260,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
-    """Documents that score ``threshold`` or more, with all their columns."""
-    return with_statistics(docs, text_col).where(model.score() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that score ``threshold`` or more, with all their columns.
+
+    The row mark keeps the optimizer from moving the filter below the statistics, where every term of every
+    rule would compute its statistic again.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    scored = with_statistics(docs, text_col).select(
+        *own, model.score().alias(PREFIX + "score"), F.monotonically_increasing_id().alias(PREFIX + "mark")
+    )
+    return scored.where((stat("score") >= threshold) & (stat("mark") >= 0)).select(*own)
