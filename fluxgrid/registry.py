@@ -5,8 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Operator -> module:function.  Operators that only pass values on are the identity.
-OPERATORS = {
-    # number arithmetic
+NUMBERS = {
+    # arithmetic
     "CheckNumbersEquality": "operators.arithmetic:check_equal",
     "CheckNumbersInRange": "operators.arithmetic:check_in_range",
     "LinearCombinationOfTwoNumbers": "operators.arithmetic:linear",
@@ -73,7 +73,9 @@ OPERATORS = {
     "TableTranslateNumbers": "operators.lookups:translate",
     "NumbersColumnsStatistics": "operators.statistics:column_statistics",
     "NumbersStatistics": "operators.statistics:percentiles",
-    # flow
+}
+
+FLOW = {
     "CancelOrCopy": "operators.flow:cancel_or_copy",
     "CopySeveral": "registry:identity",
     "ThrowException": "operators.flow:throw_if",
@@ -83,8 +85,14 @@ OPERATORS = {
     **{f"Switch{k}": "operators.flow:switch" for k in ("Matrix", "Numbers", "Scalar")},
     "IterationCount": "operators.flow:Loop",
     "RepeatWhile": "operators.flow:Loop",
-    "CopyIfRequested": "operators.flow:cancel_or_copy",
-    # scalars
+    **{f"Copy{k}IfRequested": "operators.constants:copy_if_requested" for k in ("", "Matrices", "Numbers", "Scalars")},
+}
+
+SCALARS = {
+    **{f"Create{k.title()}": f"operators.constants:create_{k}" for k in ("boolean", "double", "integer", "json", "scalar")},
+    "CopyJson": "operators.constants:copy_json",
+    "PrintScalar": "operators.constants:print_scalar",
+    "WriteScalar": "operators.constants:write_scalar",
     "AbsNumber": "functions.scalars:absolute",
     "CheckNumberInRange": "functions.scalars:in_range",
     "CheckScalarsEquality": "functions.scalars:same",
@@ -111,7 +119,9 @@ OPERATORS = {
     "ConcatenateScalars": "functions.scalars:concatenated",
     "ReplaceScalar": "functions.scalars:inserted",
     "SplitScalar": "functions.scalars:split",
-    # matrices
+}
+
+MATRICES = {
     "CheckMatrixEquality": "operators.matrices:equality",
     "MatrixAbs": "operators.matrices:absolute",
     "MatrixAngleDifference": "operators.vectors:angle_difference",
@@ -163,7 +173,14 @@ OPERATORS = {
     "DrawStraight": "operators.drawing:straight",
     "ReadImage": "sources.folders:read_image",
     "WriteImage": "sources.folders:write_png",
-    # files, chains, settings, formulas
+    "PrintSubMatrix": "operators.constants:print_sub_matrix",
+    "ReadNextImage": "sources.folders:next_image",
+    "SupportedImageFormats": "sources.folders:image_formats",
+    "ReadAlgARTImage": "sources.folders:read_matrix",
+    "WriteAlgARTImage": "sources.folders:write_matrix",
+}
+
+SYSTEM = {
     "ChangeFileExtension": "sources.folders:changed_extension",
     "CheckFileExistence": "sources.folders:existence",
     "CopyMoveFiles": "sources.folders:copy_or_move",
@@ -188,8 +205,28 @@ OPERATORS = {
     "GetNamesOfSettings": "plans.settings:Settings.names",
     "AddSubSettings": "plans.settings:with_sub",
     "GetSubSettings": "plans.settings:sub",
+    **{f"{a}{b}Settings": f"plans.settings:Settings.{a.lower()}" for a in ("Combine", "Split") for b in ("Chain", "MultiChain")},
+    "GetNamesOfChainSettings": "plans.settings:Settings.names",
+    **{f"Use{k}Settings": "plans.settings:Settings.read" for k in ("Chain", "MultiChain")},
+    **{f"ReloadInstalled{k}": "plans.chains:Registry" for k in ("Chains", "ChainSettings")},
+    "GetSettingsTree": "plans.system:settings_tree",
+    "GetExecutorSpecification": "plans.system:specification",
+    "SystemInformation": "plans.system:system_information",
+    **{f"{k}PlatformInformation": "plans.system:platform_information" for k in ("Any", "Common")},
+    "CheckClassExistence": "plans.system:class_exists",
+    "CreateLogLevel": "plans.system:log_level",
+    "ShowStatus": "plans.system:show_status",
+    "Gc": "plans.system:collect_garbage",
+    "CommonJS": "plans.scripts:scalar_formula",
+    "RepeatJS": "plans.scripts:repeat",
+    "BlockJSModifyingNamedNumbers": "plans.scripts:modify_named",
+    "BlockJSModifyingSeveralNumbers": "plans.scripts:modify_several",
+    **{n: "plans.scripts:call" for n in ("CallPythonFunction", "InterpretPython", "CallPythonExternalFunction")},
+    **{n: "plans.scripts:modify_several" for n in ("UseJS", "CallJSFunction", "CallJSExternalFunction", "InterpretJS")},
 }
 
+OPERATORS = {**NUMBERS, **FLOW, **SCALARS, **MATRICES, **SYSTEM}
+
 
 def identity(x):
     """Pass a value on."""

@@ -170,3 +170,29 @@ def write_png(m: Matrix, path: str) -> None:
 
     head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
     Path(path).write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def write_matrix(m: Matrix, folder: str) -> None:
+    """A matrix as a table of pixels with its size and kind beside it."""
+    m.df.write.mode("overwrite").parquet(os.path.join(folder, "pixels"))
+    meta = m.df.sparkSession.range(1).select(
+        F.array(*[F.lit(d) for d in m.dims]).alias("dims"), F.lit(m.channels).alias("channels"), F.lit(m.kind).alias("kind")
+    )
+    meta.write.mode("overwrite").json(os.path.join(folder, "meta"))
+
+
+def read_matrix(spark: SparkSession, folder: str) -> Matrix:
+    """A matrix that write_matrix wrote."""
+    meta = spark.read.json(os.path.join(folder, "meta")).first()
+    return Matrix(spark.read.parquet(os.path.join(folder, "pixels")), tuple(meta.dims), meta.channels, meta.kind)
+
+
+def image_formats() -> str:
+    """Formats that images are read from and written to, one a line."""
+    return "\n".join(["read: bmp", "read: gif", "read: jpeg", "read: png", "write: png"])
+
+
+def next_image(spark: SparkSession, files: FileIterator) -> tuple[Matrix | None, dict]:
+    """The next image of a list of files, and its place."""
+    step = files.step()
+    return (read_image(spark, step["output"]) if step["output"] else None), step
