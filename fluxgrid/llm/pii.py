@@ -1,12 +1,12 @@
 """Format-preserving pseudonyms of personal data, with DataFrame functions only.
 
-Values found by pattern and validated (calendar dates, address octets, check digits) are permuted by a keyed
-Feistel network within their format: digits stay digits, letters stay letters in their case, separators stay.
+Values found by pattern, dates and addresses also validated (calendar, octets), are permuted by a keyed Feistel
+network within their format: digits stay digits, letters stay letters in their case, separators stay.
 A permutation depends on the key, the kind and the value only, so equal values stay linked across documents
 and different values stay apart.
 
-Kinds: mail, phone, card (13 to 19 digits; a valid check digit stays valid, an invalid one invalid), ip
-(four octets below 256), date (year-month-day or day.month.year that exist), secret (hexadecimal tokens of 32
+Kinds: mail, phone, card (any run of 13 to 19 digits, whether its check digit is valid or not; a valid one stays
+valid, an invalid one invalid), ip (four octets below 256), date (year-month-day or day.month.year that exist), secret (hexadecimal tokens of 32
 digits and more).
 
 Cases: a null text stays null; an empty one stays empty; very long texts are treated whole; texts without
@@ -114,24 +114,34 @@ def mixed(a: Column, b: Column, n: int, m: int, kind: str, key: Column) -> Colum
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn)
 
 
+def octets_fit(value: Column) -> Column:
+    """Whether all octets of an address are below 256."""
+    return F.forall(F.split(value, r"\."), lambda x: x.cast("int") < 256)
+
+
 def address(value: Column, key: Column) -> Column:
     """Four octets as two 16-bit halves; values with an octet over 255 stay."""
     part = lambda k: F.split(value, r"\.")[k].cast("int")
     new = lambda v, shift: F.concat_ws(
         ".", F.floor(v[shift] / 256).cast("int").cast("string"), F.pmod(v[shift], F.lit(256)).cast("string")
     )
-    valid = F.forall(F.split(value, r"\."), lambda x: x.cast("int") < 256)
     pair = mixed(part(0) * 256 + part(1), part(2) * 256 + part(3), 1 << 16, 1 << 16, "ip", key)
-    return F.when(valid, let(pair, lambda v: F.concat_ws(".", new(v, "a"), new(v, "b")))).otherwise(value)
+    return F.when(octets_fit(value), let(pair, lambda v: F.concat_ws(".", new(v, "a"), new(v, "b")))).otherwise(value)
+
+
+def day_number(value: Column) -> Column:
+    """Days since 1900 of a written date; null if it doesn't exist."""
+    iso = F.when(
+        F.substring(value, 3, 1) == ".",
+        F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2)),
+    ).otherwise(value)
+    return F.datediff(iso.try_cast("date"), F.lit("1900-01-01").cast("date"))
 
 
 def date(value: Column, key: Column) -> Column:
     """Days since 1900 permuted in blocks of 73,000 days; dates that don't exist stay."""
     german = F.substring(value, 3, 1) == "."
-    iso = F.when(
-        german, F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))
-    ).otherwise(value)
-    day = F.datediff(iso.try_cast("date"), F.lit("1900-01-01").cast("date"))
+    day = day_number(value)
     block = F.floor(day / (YEARS * DAYS)).cast("long")
     inside = F.pmod(day, F.lit(YEARS * DAYS))
     pair = mixed(F.floor(inside / DAYS), F.pmod(inside, F.lit(DAYS)), YEARS, DAYS, "date", key)
@@ -145,9 +155,25 @@ def date(value: Column, key: Column) -> Column:
     return F.when(day.isNull(), value).otherwise(text)
 
 
+def is_kind(value: Column, kind: str) -> Column:
+    """Whether the pattern of a kind covers a whole value."""
+    return value.rlike(f"^(?:{KINDS[kind]})$")
+
+
+def kind_of(value: Column) -> Column:
+    """Kind under which one found value is replaced; null for a value that stays."""
+    return (
+        F.when(value.contains("@"), "mail")
+        .when(value.startswith("+"), "phone")
+        .when(is_kind(value, "date"), F.when(day_number(value).isNotNull(), "date"))
+        .when(is_kind(value, "ip"), F.when(octets_fit(value), "ip"))
+        .when(is_kind(value, "secret"), "secret")
+        .otherwise("card")
+    )
+
+
 def pseudonym(value: Column, key: Column) -> Column:
     """Pseudonym of one found value."""
-    is_kind = lambda kind: value.rlike(f"^(?:{KINDS[kind]})$")
     tail = F.regexp_extract(value, r"\.[A-Za-z]+$", 0)
     head = F.substring(value, F.lit(1), F.length(value) - F.length(tail))
     code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0)
@@ -155,9 +181,9 @@ def pseudonym(value: Column, key: Column) -> Column:
     return (
         F.when(value.contains("@"), F.concat(permuted(head, "mail", key), tail))
         .when(value.startswith("+"), F.concat(code, permuted(rest, "phone", key)))
-        .when(is_kind("date"), date(value, key))
-        .when(is_kind("ip"), address(value, key))
-        .when(is_kind("secret"), permuted(value, "secret", key, 6))
+        .when(is_kind(value, "date"), date(value, key))
+        .when(is_kind(value, "ip"), address(value, key))
+        .when(is_kind(value, "secret"), permuted(value, "secret", key, 6))
         .otherwise(card(value, key))
     )
 
@@ -185,10 +211,13 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     return docs.withColumn(text_col, masked(F.col(f"`{text_col}`"), key))
 
 
-def counts(docs: DataFrame, text_col: str = "text") -> list[Column]:
-    """Columns n_<kind>: how many values of each kind a text has."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return [
-        F.when(text.rlike("[0-9@]"), F.regexp_count(text, F.lit(p))).otherwise(F.lit(0)).cast("long").alias(f"n_{k}")
-        for k, p in KINDS.items()
-    ]
+def kinds(text: Column) -> Column:
+    """Kinds of the values of a text that are replaced, one for each value."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), kind_of)
+    none = F.array().cast("array<string>")
+    return F.when(text.rlike("[0-9@]"), F.filter(found, lambda k: k.isNotNull())).otherwise(none)
+
+
+def counts(found: Column) -> list[Column]:
+    """Columns n_<kind>: how often each kind is among the kinds of a text."""
+    return [F.size(F.filter(found, lambda x: x == k)).cast("long").alias(f"n_{k}") for k in KINDS]

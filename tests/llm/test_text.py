@@ -160,6 +160,16 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert re.search(r"born \d{4}-\d{2}-\d{2} not", new)
 
 
+def test_only_replaced_values_are_counted(spark, tmp_path):
+    text = "8.252.9.145 999.1.2.3 1990-02-28 1990-02-30 4111111111111111@mail.com +49 171 5557235 4111111111111111 " + "0a" * 20
+    rows = [(1, text), (2, None), (3, ""), (4, "plain"), (5, "999.1.2.3 and 31.02.1990")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["n_mail", "n_phone", "n_ip", "n_date", "n_secret", "n_card"]
+    found = {r.doc_id: r for r in Q.op5_pii(spark, str(tmp_path)).collect()}
+    assert [found[1][n] for n in names] == [1] * 6
+    assert all(found[d][n] == 0 for d in (2, 3, 4, 5) for n in names) and found[5].text == rows[4][1]
+
+
 def plain_noise(*parts):
     return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:12], 16)
 
