@@ -283,22 +283,62 @@ def shifted(m: Matrix, dx: int, dy: int, mode: str = "CYCLIC") -> Matrix:
     return cropped(m, -dx, -dy, m.dims[0], m.dims[1], mode)
 
 
+RESIZING = ("NEAREST", "AVERAGING", "BILINEAR", "AVERAGING_BILINEAR", "AVERAGING_MIN", "AVERAGING_MAX")
+
+
+def axis_sources(spark, new: int, old: int, mode: str, axis: str) -> DataFrame:
+    """(axis, s<axis>, w<axis>): the old places that make up each new place of one axis, with whole-number weights."""
+    p = F.col("id")
+    div = lambda a, n: F.floor(a / F.lit(n))
+    if mode == "NEAREST" or ("BILINEAR" not in mode and new >= old):
+        parts = F.array(F.struct(div((2 * p + 1) * old, 2 * new).alias("s"), F.lit(1).cast("long").alias("w")))
+    elif mode == "BILINEAR" or ("BILINEAR" in mode and new >= old):
+        # the centre of the new place among the centres of the old ones, in parts of 2 * new
+        at = F.least(F.greatest((2 * p + 1) * old - new, F.lit(0)), F.lit((old - 1) * 2 * new))
+        low, part = div(at, 2 * new), F.pmod(at, F.lit(2 * new))
+        parts = F.array(
+            F.struct(low.alias("s"), (2 * new - part).cast("long").alias("w")),
+            F.struct((low + 1).alias("s"), part.cast("long").alias("w")),
+        )
+    elif mode == "AVERAGING_BILINEAR":
+        # how much of each old place the new one covers, in parts of new
+        shared = lambda s: F.least((s + 1) * new, (p + 1) * old) - F.greatest(s * new, p * old)
+        covered = F.sequence(div(p * old, new), div((p + 1) * old + new - 1, new) - 1)
+        parts = F.transform(covered, lambda s: F.struct(s.alias("s"), shared(s).cast("long").alias("w")))
+    else:
+        block = F.sequence(div(p * old + new - 1, new), div((p + 1) * old + new - 1, new) - 1)
+        parts = F.transform(block, lambda s: F.struct(s.alias("s"), F.lit(1).cast("long").alias("w")))
+    rows = spark.range(new).select(p.cast("int").alias(axis), F.explode(parts).alias("part"))
+    return rows.select(axis, F.col("part.s").cast("int").alias(f"s{axis}"), F.col("part.w").alias(f"w{axis}")).where(
+        F.col(f"w{axis}") > 0
+    )
+
+
 def resized(m: Matrix, width: int, height: int, mode: str = "AVERAGING") -> Matrix:
-    """Another size: the nearest pixel, or the mean, least or largest of a block when shrinking."""
+    """Another size, axis by axis.
+
+    Where an axis grows, the averaging modes take the nearest pixel; where it shrinks, the mean, least or largest of a
+    block.  BILINEAR interpolates between pixel centres on both axes; AVERAGING_BILINEAR does so where an axis grows and
+    takes the mean by covered area where it shrinks.
+    """
+    if mode not in RESIZING:
+        raise ValueError(f"unknown resizing mode {mode}")
     w, h = m.dims[:2]
-    if mode == "NEAREST" or width > w or height > h:
-        cells = m.df.sparkSession.range(width * height).select(
-            F.pmod("id", F.lit(width)).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y")
-        )
-        cells = cells.withColumn("sx", F.floor((F.col("x") + 0.5) * w / width).cast("int")).withColumn(
-            "sy", F.floor((F.col("y") + 0.5) * h / height).cast("int")
-        )
-        source = m.df.select(F.col("x").alias("sx"), F.col("y").alias("sy"), *m.names)
-        df = cells.join(source, ["sx", "sy"]).select("x", "y", *m.names)
-        return replace(m, df=df, dims=(width, height))
     reduce = {"AVERAGING_MIN": F.min, "AVERAGING_MAX": F.max}.get(mode, F.avg)
-    block = [F.floor(F.col("x") * width / w).cast("int").alias("x"), F.floor(F.col("y") * height / h).cast("int").alias("y")]
-    found = m.df.groupBy(*block).agg(*[reduce(F.col(c).cast("double")).alias(c) for c in m.names])
+    if mode != "NEAREST" and "BILINEAR" not in mode and width <= w and height <= h:
+        block = [F.floor(F.col("x") * width / w).cast("int").alias("x"), F.floor(F.col("y") * height / h).cast("int").alias("y")]
+        found = m.df.groupBy(*block).agg(*[reduce(F.col(c).cast("double")).alias(c) for c in m.names])
+    else:
+        spark = m.df.sparkSession
+        source = m.df.select(F.col("x").alias("sx"), F.col("y").alias("sy"), *m.names)
+        cells = source.join(axis_sources(spark, width, w, mode, "x"), "sx").join(axis_sources(spark, height, h, mode, "y"), "sy")
+        if mode == "NEAREST" or ("BILINEAR" not in mode and width >= w and height >= h):
+            return replace(m, df=cells.select("x", "y", *m.names), dims=(width, height))
+        weight = F.col("wx") * F.col("wy")
+        mean = lambda v: F.sum(v * weight) / F.sum(weight)
+        found = cells.groupBy("x", "y").agg(
+            *[(mean if reduce is F.avg else reduce)(F.col(c).cast("double")).alias(c) for c in m.names]
+        )
     whole = m.kind not in {"float", "double"}
     cols = [to_kind(F.floor(F.col(c) + 0.5) if whole else F.col(c), m.kind).alias(c) for c in m.names]
     return replace(m, df=found.select("x", "y", *cols), dims=(width, height))

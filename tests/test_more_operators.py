@@ -104,3 +104,40 @@ def test_folders(tmp_path):
     assert folders.resolve(root, "new/deep", operation="CREATE_FOLDER_WITH_PARENTS")["file_name"] == "deep"
     folders.remove_folder(root)
     assert folders.existence(root)["output"] == "0"
+
+
+def test_resizing_by_axis(spark):
+    def axis(new, old, mode):
+        """Weights (new, old) of one axis."""
+        out = np.zeros((new, old))
+        for k in range(new):
+            if mode == "BILINEAR" or (mode == "AVERAGING_BILINEAR" and new >= old):
+                at = min(max((k + 0.5) * old / new - 0.5, 0), old - 1)
+                low = int(at)
+                out[k, low] += 1 - (at - low)
+                out[k, min(low + 1, old - 1)] += at - low
+            elif mode == "AVERAGING_BILINEAR":
+                for s in range(old):
+                    out[k, s] = max(0, min(s + 1, (k + 1) * old / new) - max(s, k * old / new))
+            elif new >= old or mode == "NEAREST":
+                out[k, int((k + 0.5) * old / new)] = 1
+            else:
+                out[k, [s for s in range(old) if s * new // old == k]] = 1
+        return out / out.sum(axis=1, keepdims=True)
+
+    m = grid(spark, 6, 5, [F.pmod(F.col("x") * 7 + F.col("y") * F.col("y") * 3, F.lit(11)), F.col("x")], "float")
+    old = pixels(m)
+    for width, height in ((12, 10), (9, 2), (4, 7), (4, 3), (3, 5), (1, 1), (6, 5)):
+        for mode in ("NEAREST", "AVERAGING", "BILINEAR", "AVERAGING_BILINEAR", "AVERAGING_MIN", "AVERAGING_MAX"):
+            new = pixels(M.resized(m, width, height, mode))
+            x, y = axis(width, 6, mode), axis(height, 5, mode)
+            if mode in {"AVERAGING_MIN", "AVERAGING_MAX"}:
+                pick = np.min if mode.endswith("MIN") else np.max
+                want = np.array([[pick(old[b > 0][:, a > 0], axis=(0, 1)) for a in x] for b in y])
+            else:
+                want = np.einsum("Yy,Xx,yxc->YXc", y, x, old)
+            assert np.allclose(new, want, atol=1e-5), (width, height, mode)
+    whole = pixels(M.resized(grid(spark, 2, 1, [F.col("x") * 5]), 4, 1, "BILINEAR"))[0, :, 0]
+    assert whole.tolist() == [0, 1, 4, 5]
+    with pytest.raises(ValueError):
+        M.resized(m, 3, 3, "BICUBIC")
