@@ -6,7 +6,8 @@ A permutation depends on the key, the kind and the value only, so equal values s
 and different values stay apart.
 
 Kinds: mail, phone, card (any run of 13 to 19 digits, whether its check digit is valid or not; a valid one stays
-valid, an invalid one invalid), ip (four octets below 256), date (year-month-day or day.month.year that exist), secret (hexadecimal tokens of 32
+valid, an invalid one invalid; also groups of 4-4-4-4, 4-4-4-4-3, 4-6-5 or 4-6-4 digits with one blank or hyphen
+between, if the check digit is valid), ip (four octets below 256), date (year-month-day or day.month.year that exist), secret (hexadecimal tokens of 32
 digits and more).
 
 Cases: a null text stays null; an empty one stays empty; very long texts are treated whole; texts without
@@ -22,16 +23,21 @@ from pyspark.sql import functions as F
 from fluxgrid.llm.common import let
 
 EDGE, END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+GROUPED = "|".join(
+    f"[0-9]{{4}}{sep}(?:[0-9]{{4}}{sep}[0-9]{{4}}{sep}[0-9]{{4}}(?:{sep}[0-9]{{3}})?|[0-9]{{6}}{sep}[0-9]{{4,5}})" for sep in " -"
+)
 KINDS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}" + END,
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}" + END,
     "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}" + END,
     "ip": EDGE + r"(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + END + r"(?!\.[0-9])",
     "date": EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + END,
-    "secret": EDGE + r"[0-9A-Fa-f]{32,128}" + END,
-    "card": EDGE + r"[0-9]{13,19}" + END,
+    "secret": EDGE + r"[0-9A-Fa-f]{32,}" + END,
+    "card": EDGE + f"(?:[0-9]{{13,19}}|{GROUPED})" + END,
 }
 PATTERN = "|".join(KINDS.values())
 ROUNDS = 8
+#: A longer half enters the network's noise by its digest, or the work would grow with the square of its length.
+LONG = 1024
 #: Days of one block of dates, as 200 by 365.
 YEARS, DAYS = 200, 365
 KEY = "pseudonym-key-1"
@@ -66,8 +72,11 @@ def permuted(value: Column, kind: str, key: Column, letters: int = 26) -> Column
 
     def turn(acc: Column, r: Column) -> Column:
         a, b = acc["a"], acc["b"]
-        new = F.transform(
-            F.split(a, ""), lambda c, i: moved(c, noise(key, F.lit(kind), r, F.length(a), i, F.lower(b)), letters)
+        new = let(
+            F.when(F.length(b) > LONG, F.sha2(F.lower(b), 256)).otherwise(F.lower(b)),
+            lambda other: F.transform(
+                F.split(a, ""), lambda c, i: moved(c, noise(key, F.lit(kind), r, F.length(a), i, other), letters)
+            ),
         )
         return F.struct(b.alias("a"), F.array_join(new, "").alias("b"))
 
@@ -99,6 +108,34 @@ def card(value: Column, key: Column) -> Column:
     )
 
 
+def bare(value: Column) -> Column:
+    """A number without its blanks and hyphens."""
+    return F.translate(value, " -", "")
+
+
+def checked(value: Column) -> Column:
+    """Whether the last of a run of digits is the check digit of the others."""
+    n = F.length(value)
+    return check_digit(F.substring(value, F.lit(1), n - 1)) == F.substring(value, n, F.lit(1)).cast("int")
+
+
+def grouped_card(value: Column, key: Column) -> Column:
+    """A number in groups gets the pseudonym of its bare digits in the same groups; an invalid one stays."""
+    new = let(
+        card(bare(value), key),
+        lambda digits: F.array_join(
+            F.transform(
+                F.split(value, ""),
+                lambda c, i: F.when(
+                    c.between("0", "9"), F.substring(digits, F.length(bare(F.substring(value, F.lit(1), i + 1))), F.lit(1))
+                ).otherwise(c),
+            ),
+            "",
+        ),
+    )
+    return F.when(checked(bare(value)), new).otherwise(value)
+
+
 def mixed(a: Column, b: Column, n: int, m: int, kind: str, key: Column) -> Column:
     """Feistel network over a pair of numbers below n and m; a struct of both."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
@@ -168,6 +205,7 @@ def kind_of(value: Column) -> Column:
         .when(is_kind(value, "date"), F.when(day_number(value).isNotNull(), "date"))
         .when(is_kind(value, "ip"), F.when(octets_fit(value), "ip"))
         .when(is_kind(value, "secret"), "secret")
+        .when(value.rlike("[ -]"), F.when(checked(bare(value)), "card"))
         .otherwise("card")
     )
 
@@ -184,6 +222,7 @@ def pseudonym(value: Column, key: Column) -> Column:
         .when(is_kind(value, "date"), date(value, key))
         .when(is_kind(value, "ip"), address(value, key))
         .when(is_kind(value, "secret"), permuted(value, "secret", key, 6))
+        .when(value.rlike("[ -]"), grouped_card(value, key))
         .otherwise(card(value, key))
     )
 

@@ -170,6 +170,25 @@ def test_only_replaced_values_are_counted(spark, tmp_path):
     assert all(found[d][n] == 0 for d in (2, 3, 4, 5) for n in names) and found[5].text == rows[4][1]
 
 
+def test_grouped_cards_and_long_values(spark):
+    name, secret = "n" * 70, "0123456789abcdef" * 250
+    groups = ["4111 1111 1111 1111", "4111-1111-1111-1111", "3782-822463-10005", "3056 930902 5904"]
+    years = "4111 1111 1111 1112 and 2020-2021-2022-2023"
+    texts = ["4111111111111111", *groups, years, f"{name}@mail.com", secret, f"x {secret}.", "5" + secret]
+    rows = list(enumerate(texts))
+    found = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", pii.masked(F.col("text")).alias("t"), pii.kinds(F.col("text")).alias("k"))
+    found = {r.doc_id: (r.t, r.k) for r in found.collect()}
+    bare = found[0][0]
+    for k, old in enumerate(groups, 1):
+        new = found[k][0]
+        assert new != old and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old) and luhn(re.sub("[ -]", "", new))
+    assert found[1][0].replace(" ", "") == found[2][0].replace("-", "") == bare
+    assert found[5] == (years, []) and all(found[k][1] == ["card"] for k in range(5))
+    assert name not in found[6][0] and found[6][0].endswith(".com") and found[6][1] == ["mail"]
+    assert len(found[7][0]) == len(secret) and found[7][0] != secret and found[8][0] == f"x {found[7][0]}." and found[9][1] == ["secret"]
+    assert found[9][0][1:] != found[7][0] and re.fullmatch("[0-9a-f]+", found[9][0])
+
+
 def plain_noise(*parts):
     return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:12], 16)
 
