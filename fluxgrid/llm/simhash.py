@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.llm.bpe import utf8_rows
@@ -60,16 +60,24 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every document."""
+def text_digest(text: str) -> Column:
+    """Digest of a text; a null one has the empty digest."""
+    return F.coalesce(F.sha2(F.col(text), 256), F.lit(""))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """doc_id, with ``digests`` the digest of the text, and fp (the fingerprint as a signed long) of every document."""
+    names = ["doc_id", "digest"] if digests else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in utf8_rows(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(fp)], [*names, "fp"])
 
     rows = id_text(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    if digests:
+        rows = rows.withColumn("digest", text_digest("text"))
+    return rows.mapInArrow(run, ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names) + ", fp long")
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,17 +218,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         last = state
 
 
+def rooted(nodes: DataFrame) -> DataFrame:
+    """Distinct fingerprints (column fp and others) with the root of their component."""
+    found = components(links(nodes))
+    # a node without links is its own component
+    return nodes.join(
+        found.union(found.select(F.col("root").alias("node"), "root").distinct()), F.col("fp") == F.col("node"), "left"
+    ).select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every document: the least id that links reach."""
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    found = components(links(nodes))
-    # a node without links is its own component
-    rooted = nodes.join(
-        found.union(found.select(F.col("root").alias("node"), "root").distinct()), F.col("fp") == F.col("node"), "left"
-    ).select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    table = rooted.join(names, "root").select("fp", "component_id")
+    roots = rooted(nodes)
+    names = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    table = roots.join(names, "root").select("fp", "component_id")
     return prints.join(table, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -230,11 +243,23 @@ def fingerprint_hex(fp: str = "fp"):
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of one document of each group: the one that names the component.
+    """All columns of one row of each component: the one with the least id, null ids last, then the least digest.
 
-    Rows with a null id can't be named and stay; of rows with equal ids one stays.
+    Of rows with that id and text the one whose other columns have the least hash stays.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    rows = docs.join(keep, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    prints = fingerprints(docs, id_col, text_col, digests=True)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest"))
+    nodes = stored(prints.groupBy("fp").agg(least.alias("least")), "nodes")
+    keep = rooted(nodes).groupBy("root").agg(F.min("least").alias("least"))
+    keep = keep.select(F.col("least.doc_id").alias("__kept_id"), F.col("least.digest").alias("__kept_digest"))
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != text_col and "map<" not in kind]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+        F.col(id_col).alias("__id"),
+        text_digest(text_col).alias("__digest"),
+        F.xxhash64(*others).alias("__tie"),
+    )
+    kept = rows.join(
+        keep, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi"
+    )
+    return kept.groupBy("__id", "__digest").agg(F.min_by("__row", "__tie").alias("__row")).select("__row.*")

@@ -152,6 +152,21 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.mix_rows(docs, mixing.Mix(block=100)).columns == docs.columns
 
 
+def test_one_of_each_keeps_every_different_text(spark):
+    """Repeated and null ids: one row of each component, the same one in any order of rows."""
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
+    rows = [(1, texts[0], "x"), (1, texts[1], "x"), (1, texts[1], "y"), (2, texts[1], "x"), (None, texts[2], "x"), (None, texts[2], "x"),
+            (None, texts[3], "x"), (None, texts[0], "x"), (3, texts[4], "x"), (3, texts[5], "x"), (2, texts[5], "x"), (4, None, "x"), (4, "", "x")]
+    kept = []
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        kept.append(sorted(map(tuple, simhash.one_of_each(frame).collect()), key=str))
+    assert kept[0] == kept[1]
+    assert sorted(str((d, t)) for d, t, _ in kept[0]) == sorted(
+        map(str, [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (3, texts[4]), (2, texts[5]), (4, None)])
+    )
+
+
 def test_empty_tables(spark, nothing):
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0
     assert substring_dedup.removed(nothing).count() == 0
