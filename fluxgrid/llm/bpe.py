@@ -2,8 +2,8 @@
 
 The merge loop keeps a priority queue of (rank, place) over a doubly linked symbol list and skips stale
 entries; decoding concatenates vocabulary strings.  Words between ASCII white space never interact, so each
-Python worker keeps a bounded cache from word to packed ids; the cache is emptied when it is full, which
-changes speed only.
+Python worker keeps a cache from word to packed ids, bounded by bytes; what the cache drops is computed again,
+which changes speed only.
 
 Cases: a null text counts as empty and gives no ids; very long texts are encoded whole; repeated rows give
 equal results; other columns are ignored; an empty table gives an empty result.
@@ -24,10 +24,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from fluxgrid.llm.common import id_text
+from fluxgrid.llm.common import id_text, map_arrow
 
-#: Entries that a worker keeps twice at most (two generations); with keys and values some 200 bytes each.
-MAX_WORDS, MAX_PIECES = 300_000, 300_000
+#: Bytes of one generation of a worker's caches (two are kept), bytes that an entry takes besides key and
+#: value, and the longest word that is kept.
+WORD_BYTES, PIECE_BYTES, ENTRY_BYTES, LONGEST = 40 << 20, 4 << 20, 150, 64
 
 PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -40,13 +41,19 @@ STOPS = re.compile(
 )
 
 
+#: A capital before a letter from U+0300 up, perhaps a combining mark: the pair must be composed before it is
+#: put in lower case, as some marks join the small letter only.  Also the start of a special token.
+AS_IS = re.compile(rb"[A-Z][\xcc-\xff]|<\|")
+
+
 def cache_words(text: bytes) -> list[bytes]:
     """Words between white space in lower case (ASCII), stops apart, so that few words differ.
 
-    Pieces stay the same: lower case comes before pieces anyway, and such a stop never joins another piece.
-    A text that may hold special tokens, which are matched in their case, is only split.
+    Pieces stay the same: without combining marks behind capitals lower case may come before composition, and
+    such a stop never joins another piece.  A text with such marks, or that may hold special tokens, which are
+    matched in their case, is only split; its words are composed and put in lower case one by one.
     """
-    return text.split() if b"<|" in text else STOPS.sub(rb" \g<0>", text.lower()).split()
+    return text.split() if AS_IS.search(text) else STOPS.sub(rb" \g<0>", text.lower()).split()
 
 
 def byte_letters() -> list[str]:
@@ -123,19 +130,26 @@ class Vocabulary:
 
 
 class Cache(dict):
-    """key -> value, computed when missing; the generation before the present one is kept for its common keys."""
+    """key -> bytes, computed when missing; the generation before the present one is kept for its common keys.
+
+    A generation ends when its keys and values reach ``most`` bytes; long keys are never kept.
+    """
 
     def __init__(self, compute: Callable, most: int):
         super().__init__()
-        self.compute, self.most, self.before = compute, most, {}
+        self.compute, self.most, self.size, self.before = compute, most, 0, {}
 
     def __missing__(self, key):
         out = self.before.get(key)
         if out is None:
             out = self.compute(key)
-        if len(self) >= self.most:
+            if len(key) > LONGEST:
+                return out
+        if self.size >= self.most:
             self.before = self.copy()
             self.clear()
+            self.size = 0
+        self.size += ENTRY_BYTES + len(key) + len(out)
         self[key] = out
         return out
 
@@ -150,15 +164,18 @@ class Coder:
 
     def __init__(self, path: str):
         self.vocabulary = v = Vocabulary(path)
-        self.pieces = Cache(lambda piece: packed(v.merged(piece)), MAX_PIECES)
-        self.words = Cache(lambda word: self.word(word.decode()), MAX_WORDS)
+        self.pieces = Cache(lambda piece: packed(v.merged(piece)), PIECE_BYTES)
+        self.words = Cache(lambda word: self.word(word.decode()), WORD_BYTES)
         self.strings = [v.tokens.get(i, "").encode() for i in range(max(v.tokens) + 1)]
 
     def word(self, word: str) -> bytes:
         """Packed ids of a word: special tokens first, then pieces."""
         v = self.vocabulary
         if "<|" not in word:
-            return b"".join(map(self.pieces.__getitem__, normal_pieces(word)))
+            pieces = normal_pieces(word)
+            if len(pieces) == 1:  # kept as a word already
+                return packed(v.merged(pieces[0]))
+            return b"".join(map(self.pieces.__getitem__, pieces))
         out = []
         for part in v.special_split.split(word):
             if part in v.specials:
@@ -206,7 +223,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), list_array(rows)], ["doc_id", "ids"])
 
     rows = id_text(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -223,7 +240,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     from pyspark.sql import functions as F
 
     rows = tokens.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def round_trip(
@@ -248,4 +265,4 @@ def round_trip(
     rows = id_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     tail = ", ids array<int>" if with_ids else ""
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{tail}")
+    return map_arrow(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{tail}")

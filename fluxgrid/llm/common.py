@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: The same white space as a set of characters.
 WHITE = " \t\n\x0b\x0c\r"
+#: Bytes of one Arrow batch, and the setting that bounds them.
+BATCH_BYTES, BATCH_SETTING = "2m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def let(value: Column, body) -> Column:
@@ -30,15 +33,29 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def map_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow over batches bounded by bytes: a batch of long texts must not fill a worker.
+
+    A session that bounds its batches itself keeps its bound.
+    """
+    spark = rows.sparkSession
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return rows.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by the driver and all executors: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, local runs) a local temporary folder is set.
+    Where it is unset a local run (tests) gets a local temporary folder; a cluster, whose executors would each
+    write to their own disk, gets an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
             found = spark.sparkContext.getCheckpointDir()
         where = found

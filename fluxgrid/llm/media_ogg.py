@@ -5,8 +5,8 @@ the granule position of a page is the number of samples up to the end of its las
 the time of every packet and the order of the streams from granule positions alone.
 
 Cases: a null text counts as empty and gives one packet of padding; very long texts are stored whole; equal
-texts give equal bytes; other columns are ignored; an empty table gives an empty result; broken media raise
-``ValueError`` with the fault.
+texts give equal bytes; other columns are ignored; an empty table gives an empty result; null and broken media
+give null values with the fault in the column ``error`` (the functions on bytes raise it as ``ValueError``).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fluxgrid.llm.bpe import utf8_rows
-from fluxgrid.llm.common import id_text
+from fluxgrid.llm.common import id_text, map_arrow
 
 RATE, FRAME, PAD = 8000, 576, 255
 SERIALS = (1, 2)
@@ -220,53 +220,57 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             )
 
     rows = id_text(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+
+
+def read(media: bytes | None) -> tuple[bytes, list[Packet], dict[int, Logical]]:
+    """Like read_payload; null, empty and cut media raise ``ValueError`` too."""
+    if not media:
+        raise ValueError("no media")
+    payload, found, streams = read_payload(media)
+    if not payload:
+        raise ValueError("no samples")
+    return payload, found, streams
 
 
 def packets(media: DataFrame) -> DataFrame:
-    """doc_id, serial, start, ms, data BINARY of every packet of a media column."""
+    """doc_id, serial, start, ms, data BINARY, error of every packet of a media column; a broken medium is one row."""
+    names = ["doc_id", "serial", "start", "ms", "data", "error"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id")
             for k, m in enumerate(b.column("media").to_pylist()):
-                found = demultiplex(m or b"")[0]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.take(pa.array([k] * len(found), pa.int64())),
-                        pa.array([p.serial for p in found], pa.int64()),
-                        pa.array([p.start for p in found], pa.int64()),
-                        pa.array([p.start * 1000 // RATE for p in found], pa.int64()),
-                        pa.array([p.data for p in found], pa.binary()),
-                    ],
-                    ["doc_id", "serial", "start", "ms", "data"],
-                )
+                try:
+                    rows = [(p.serial, p.start, p.start * 1000 // RATE, p.data, None) for p in read(m)[1]]
+                except ValueError as e:
+                    rows = [(None, None, None, None, str(e))]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+                cols = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([k] * len(rows), pa.int64())), *cols], names)
 
     rows = media.select("doc_id", "media")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, serial long, start long, ms long, data binary")
+    return map_arrow(rows, run, f"doc_id {kind}, serial long, start long, ms long, data binary, error string")
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Read the stored bytes back: doc_id, n_bytes, digests of payload and media, feature."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Read the stored bytes back: doc_id, n_bytes, digests of payload and media, feature, error."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+
+    def row(m: bytes | None) -> tuple:
+        stored = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+        try:
+            payload, found, streams = read(m)
+        except ValueError as e:
+            return (None, None, None, *stored, None, str(e))
+        digests = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        return (*digests, *stored, feature_text(payload, found, streams), None)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for m in b.column("media").to_pylist():
-                payload, found, streams = read_payload(m)
-                rows.append(
-                    (
-                        len(payload),
-                        hashlib.sha256(payload).hexdigest(),
-                        zlib.crc32(payload[-32:]),
-                        len(m),
-                        hashlib.sha256(m).hexdigest(),
-                        feature_text(payload, found, streams),
-                    )
-                )
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows = [row(m) for m in b.column("media").to_pylist()]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("n_bytes"), *cols], ["doc_id", "n_bytes", *names]
@@ -274,8 +278,9 @@ def features(media: DataFrame) -> DataFrame:
 
     rows = media.select("doc_id", "n_bytes", "media")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
+    return map_arrow(
+        rows,
         run,
         f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string",
+        "media_bytes long, media_sha256 string, feature string, error string",
     )

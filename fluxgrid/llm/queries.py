@@ -19,7 +19,7 @@ from fluxgrid.llm import (
     substring_dedup,
     token_output,
 )
-from fluxgrid.llm.common import documents
+from fluxgrid.llm.common import documents, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,8 +116,8 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as an Ogg file, read back."""
-    return media_ogg.features(media_ogg.store_texts(documents(spark, sf_dir)))
+    """Every document as an Ogg medium in a stored table, read back from there."""
+    return media_ogg.features(stored(media_ogg.store_texts(documents(spark, sf_dir)), "media"))
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Documents are range-partitioned and sorted by id, so file after file the rows as
 of the document, its number of ids and the ids with an end id.  Reading two columns touches no token pages,
 and page indexes let a range of documents be read alone.
 
-Cases: a null text counts as empty and gives the end id only; null ids sort first; repeated ids are ordered
-by text; very long texts are kept whole; other columns are ignored; an empty table gives an empty result.
+Cases: a null text counts as empty and gives the end id only; null ids sort first; rows of one id, or without
+one, keep the order of the input and may be dealt over several files; very long texts are kept whole; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxgrid.llm.bpe import MAX_PIECES, MAX_WORDS, Cache, byte_letters, cache_words, list_array, normal_pieces, packed, utf8_rows
-from fluxgrid.llm.common import id_text, store
+from fluxgrid.llm.bpe import PIECE_BYTES, WORD_BYTES, Cache, byte_letters, cache_words, list_array, normal_pieces, packed, utf8_rows
+from fluxgrid.llm.common import id_text, map_arrow, store
 
 END_ID = 1
 #: Writer options: row groups of 32 MB, pages of 256 KB, dictionaries as far as 1 MB, else delta encoding.
@@ -50,17 +51,18 @@ def library_words(path: str) -> Cache:
         def piece_ids(piece: str) -> bytes:
             return packed([t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))])
 
-        pieces = Cache(piece_ids, MAX_PIECES)
+        pieces = Cache(piece_ids, PIECE_BYTES)
 
         def word(data: bytes) -> bytes:
             text = data.decode()
             # the library normalises letters of Latin-1 alike and splits such a word at the same places
             if data.isascii() or (text.isalpha() and max(text) <= "\u00ff"):
                 if "<|" not in text:
-                    return b"".join(map(pieces.__getitem__, normal_pieces(text)))
+                    parts = normal_pieces(text)
+                    return piece_ids(parts[0]) if len(parts) == 1 else b"".join(map(pieces.__getitem__, parts))
             return ids(text)
 
-        _encoders[path] = Cache(word, MAX_WORDS)
+        _encoders[path] = Cache(word, WORD_BYTES)
     return _encoders[path]
 
 
@@ -76,15 +78,16 @@ def encoded(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, list_array(rows)], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>")
+    return map_arrow(docs, run, f"doc_id {kind}, n_tokens long, ids array<int>")
 
 
 def write(
     docs: DataFrame, path: str, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text"
 ) -> str:
     """Write the token files in the shared folder; their folder."""
-    rows = id_text(docs, id_col, text_col)
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the place in the input splits the rows of one id, so an id that many rows have is no single task
+    rows = id_text(docs, id_col, text_col).withColumn("place", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     return store(encoded(ordered, path, end_id), "tokens", "zstd", **FORMAT)
 
 
@@ -104,13 +107,15 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
             )
 
     files = spark.read.parquet(folder)
+    number = F.regexp_extract("name", r"^part-([0-9]+)", 1).cast("long")
     kind = files.schema["doc_id"].dataType.simpleString()
     rows = files.select(
         F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "doc_id", "ids"
-    ).mapInArrow(run, f"file string, row long, doc_id {kind}, n_tokens long, ids_crc32 long")
-    # part files are named in the order of their ranges; one row for each file here
+    )
+    rows = map_arrow(rows, run, f"file string, row long, doc_id {kind}, n_tokens long, ids_crc32 long")
+    # part files are numbered in the order of their ranges; one row for each file here
     sizes = files.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n").over(Window.orderBy(number, "name").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("name", F.coalesce(before, F.lit(0)).alias("base"))
     inside = F.sum("n_tokens").over(
         Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)

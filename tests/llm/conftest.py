@@ -24,6 +24,7 @@ def odd_rows():
         (10, sentence(rng, 30) + "\n" + passage + "\n" + sentence(rng, 10)), (11, passage), (12, sentence(rng, 5) + " " + other),
         (13, other + " " + passage), (14, "x y z " * 400), (15, "z x y " * 300), (16, sentence(rng, 60_000)),
         (17, "café été <|endoftext|> naïve 12 it's I'll!! ΣΑΣ İ é 日本語 a.b... x,, y."), (18, "same"), (18, "same"), (19, "same"),
+        (20, "H\u0331ello T\u0308x W\u030a J\u030cabc, A\u0306B H\u0331. É Ę\u0301 don't STOP."),
     ]
     return rows
 

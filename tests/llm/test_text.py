@@ -73,8 +73,32 @@ def test_merge_takes_the_lowest_rank_first():
 def test_small_caches_change_nothing(odd_rows):
     c = bpe.Coder(PATH)
     want = [c.encode((t or "").encode()) for _, t in odd_rows]
-    c.words.most = c.pieces.most = 3
+    c = bpe.Coder(PATH)
+    c.words.most = c.pieces.most = 600
     assert [c.encode((t or "").encode()) for _, t in odd_rows] == want
+    assert len(c.words) <= 6 and len(c.words.before) <= 6
+
+
+def test_caches_are_bounded_by_bytes():
+    cache = bpe.Cache(lambda k: k, 10_000)
+    for k in range(5000):
+        assert cache[b"%040d" % k] == b"%040d" % k
+        assert cache[b"%0200d" % k] == b"%0200d" % k
+    held = [*cache.items(), *cache.before.items()]
+    assert sum(len(k) + len(v) + bpe.ENTRY_BYTES for k, v in held) <= 2 * (10_000 + 1000)
+    assert all(len(k) <= bpe.LONGEST for k, _ in held)
+
+
+def test_random_texts_equal_library():
+    """Combining marks behind capitals, special tokens and odd white space, in both encoders."""
+    library, c, words = Tokenizer.from_file(PATH), bpe.Coder(PATH), token_output.library_words(PATH)
+    rng = np.random.default_rng(3)
+    letters = [*"abcHTWYJAEIOU .,'!0179 \t\n", *"\u0331\u0308\u030a\u030c\u0301\u0323\u0345\u1100\u1161\xa0\x85\u212b\u2126ÉéßΣςİı日ﬁ—’", "<|endoftext|>", "<|", "'LL"]
+    for _ in range(30_000):
+        text = "".join(letters[k] for k in rng.integers(0, len(letters), rng.integers(1, 14)))
+        want = np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert c.encode(text.encode()) == want, repr(text)
+        assert b"".join(map(words.__getitem__, bpe.cache_words(text.encode()))) == want, repr(text)
 
 
 def test_token_files(spark, odd, odd_rows):
@@ -90,6 +114,36 @@ def test_token_files(spark, odd, odd_rows):
     assert {r.doc_id for r in token_output.token_ids(spark, folder, 4, 6).collect()} == {4, 5, 6}
 
 
+def test_token_file_format(spark, odd, tmp_path):
+    """Encodings, page indexes and row groups as the footers have them."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    many = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(k)), 256) for k in range(9)]).alias("text"))
+    folder = token_output.write(many.coalesce(1), PATH).removeprefix("file:")
+    files = [pq.ParquetFile(f).metadata for f in sorted(glob.glob(f"{folder}/part-*"))]
+    assert sum(m.num_rows for m in files) == 40_000 and max(m.num_row_groups for m in files) >= 1
+    for m in files:
+        for g in range(m.num_row_groups):
+            for c in range(m.num_columns):
+                col = m.row_group(g).column(c)
+                assert col.has_offset_index and col.has_column_index
+                assert {"PLAIN_DICTIONARY", "RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(col.encodings), col.encodings
+            assert m.row_group(g).total_byte_size <= 64 << 20
+
+
+def test_token_files_of_one_id(spark):
+    """A hot id is dealt over files; starts follow the rows."""
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    folder = token_output.write(docs, PATH)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = sorted(token_output.index(spark, folder).collect(), key=lambda r: r.start)
+    assert len(rows) == 3000 and all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
+    assert spark.read.parquet(folder).select("_metadata.file_name").distinct().count() > 1
+
+
 def test_media_round_trip(odd, odd_rows):
     found = by_text(media_ogg.features(media_ogg.store_texts(odd)), odd, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
     for d, t in odd_rows:
@@ -98,6 +152,46 @@ def test_media_round_trip(odd, odd_rows):
         assert (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:])) in found[d]
 
 
+def plain_media(media):
+    """Samples and page numbers of an Ogg file by a second reader: streams are put in order by granule positions."""
+    at, parts, pages, heads = 0, [], 0, set()
+    while at < len(media):
+        assert media[at : at + 5] == b"OggS\0"
+        granule, serial = int.from_bytes(media[at + 6 : at + 14], "little"), media[at + 14 : at + 18]
+        sizes = media[at + 27 : at + 27 + media[at + 26]]
+        start = at + 27 + len(sizes)
+        if serial in heads:
+            parts.append((granule, media[start : start + sum(sizes)]))
+        heads.add(serial)
+        at, pages = start + sum(sizes), pages + 1
+    return b"".join(body for _, body in sorted(parts)), pages
+
+
+def test_media_columns_equal_a_second_reader(odd, odd_rows):
+    stored = media_ogg.store_texts(odd).collect()
+    found = {r.media_sha256: r for r in media_ogg.features(media_ogg.store_texts(odd)).collect()}
+    for r in stored:
+        payload, pages = plain_media(r.media)
+        f = found[hashlib.sha256(r.media).hexdigest()]
+        assert f.media_bytes == len(r.media) and f.payload_sha256 == hashlib.sha256(payload).hexdigest() and f.error is None
+        x = [b - 128 for b in payload]
+        values = dict(v.split("=") for v in f.feature.split(";"))
+        assert int(values["pages"]) == pages and int(values["packets"]) == len(payload) // 576 and values["streams"] == "2"
+        assert int(values["sum"]) == sum(x) and int(values["energy"]) == sum(v * v for v in x) and int(values["peak"]) == max(map(abs, x))
+        assert int(values["crossings"]) == sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+
+
+def test_broken_media_give_rows(spark):
+    good = media_ogg.store_payload(bytes(576))
+    media = [(1, good), (2, None), (3, b""), (4, good[:-3]), (5, b"no media"), (None, good[:30] + b"x" + good[31:])]
+    table = spark.createDataFrame([(d, 1, m) for d, m in media], "doc_id long, n_bytes long, media binary")
+    rows = {r.doc_id: r for r in media_ogg.features(table).collect()}
+    assert rows[1].error is None and rows[1].payload_bytes == 576
+    assert all(rows[d].error and rows[d].payload_sha256 is None and rows[d].feature is None for d in (2, 3, 4, 5, None))
+    assert rows[2].media_bytes is None and rows[4].media_bytes == len(good) - 3
+    assert sorted((r.doc_id or 0, r.error is None) for r in media_ogg.packets(table).collect()) == [(0, False), (1, True), (2, False), (3, False), (4, False), (5, False)]
+
+
 def test_media_times_and_faults():
     payload = bytes(range(256)) * 9 * 64
     media = media_ogg.store_payload(payload)
