@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fluxgrid.llm import bpe, mixing, pii, rule_classifier, simhash
 from fluxgrid.llm.common import documents, stored
-from fluxgrid.llm.queries import MIX, QUALITY_THRESHOLD, tokenizer_path
+from fluxgrid.llm.queries import MIX, QUALITY_THRESHOLD, pseudonym_key, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms in place of personal data; n_chars follows the text."""
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pseudonym_key(spark))
     if "n_chars" not in out.columns:
         return out
     kind = docs.schema["n_chars"].dataType
