@@ -132,7 +132,7 @@ def test_many_automata_and_salts(spark, monkeypatch):
 def test_mix_reaches_its_targets(spark):
     rows = [(k, "w " * (1 + k % 7), "big" if k % 3 else f"s{k % 15}") for k in range(6000)]
     docs = spark.createDataFrame([*rows, (None, None, None), (7000, "", "blank"), (1, "w w", "big")], "doc_id long, text string, source string")
-    for mix in (mixing.Mix(0.97, 100.0, None, 100), mixing.Mix(1.0, 2.0, None, 100), mixing.Mix(0.97, 100.0, 40000.0, 100)):
+    for mix in (mixing.Mix(0.97, 100.0, None, 100), mixing.Mix(1.0, 2.0, None, 100), mixing.Mix(0.97, 100.0, 40000.0, 100), mixing.Mix(1.0, 1.5, None, 100, 0.9)):
         drawn = mixing.drawn(docs, mix).select("doc.doc_id", "doc.source", "src", F.size(F.filter(F.split(F.coalesce("doc.text", F.lit("")), " "), lambda w: w != "")).alias("n"), "tokens" if False else "n_copies", "weight", "epochs", "exponent").collect()
         assert len(drawn) == 6003
         real = [r for r in drawn if r.weight is not None]
@@ -147,7 +147,7 @@ def test_mix_reaches_its_targets(spark):
             want = own[0].epochs * sum(r.n for r in own)
             got = sum(r.n * r.n_copies for r in own)
             assert want - 14 - 1 <= got <= want + 1e-6, (src, want, got)
-        if mix.budget is None:
+        if mix.budget is None and mix.share is None:
             assert min(r.n_copies for r in drawn) >= 1
     assert mixing.mix_rows(docs, mixing.Mix(block=100)).columns == docs.columns
 
