@@ -454,11 +454,69 @@ def test_permutations_are_one_to_one(spark):
 
 def test_licences(spark):
     mit = "MIT Licence\n\nCopyright (c) 2020 Somebody\n\n" + licences.MIT.replace("sublicense", "sublicence").replace(" to any", ",\n to  any")
-    docs = [(1, mit), (2, "intro\n * Released under the MIT licence!\nLicensed under CC BY-NC 4.0."), (3, None), (4, "plain"), (4, "plain"), (5, licences.BSD_HEAD + licences.BSD_TAIL)]
-    rows = licences.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    bullets = "BSD 3-Clause License\n\nCopyright 2020 Somebody\nAll rights reserved.\n" + licences.bsd(3, ("*",) * 3)
+    docs = [(1, mit), (2, "intro\n * Released under the MIT licence!\nLicensed under CC BY-NC 4.0."), (3, None), (4, "plain"), (4, "plain"), (5, licences.bsd(2, ("1.", "2."))),
+            (6, bullets), (7, "text\n(c) 2020 X. All rights reserved.\nmore"), (8, "All rights reserved."), (9, "all rights reserved to nobody")]
+    wide = spark.createDataFrame([(*d, "x", "y", 1) for d in docs], "doc_id long, text string, digest string, known string, line int")
+    rows = licences.scan(wide).collect()
     found = {r.doc_id: (r.licence, r.notices, r.n_notices) for r in rows}
-    assert len(rows) == 6
+    assert len(rows) == 10
     assert found[1][0] == "MIT" and found[2] == (None, "CC-BY-NC-4.0,MIT", 2) and found[3] == (None, "", 0) and found[5][0] == "BSD-2-Clause"
+    reserved = "LicenseRef-All-Rights-Reserved"
+    assert found[6] == ("BSD-3-Clause", reserved, 1) and found[7] == found[8] == (None, reserved, 1) and found[9] == (None, "", 0)
+
+
+def plain_canonical(text):
+    """Canonical text by hand: lines without copyright lines, words of letters and digits, one spelling."""
+    words = []
+    for line in (text or "").lower().split("\n"):
+        inner = re.sub(r"^[\W_]+", "", line)
+        if re.search(r"all rights reserved[\W_]*$", line) or line.lstrip("*#/;- \t").startswith(("(c)", "©")):
+            continue
+        if re.match(r"copyright\b.*(\(c\)|©|\d{4})", inner):
+            continue
+        words += re.findall(r"[^\W_]+", line)
+    out = []
+    for w in words:
+        w = re.sub(r"^(sub)?licenc(e|ed|es|ing)$", lambda m: (m[1] or "") + "licens" + m[2], w)
+        w = re.sub(r"^(author|organ|recogn|util|initial|summar|custom|special)is(e|ed|es|er|ers|ing|ation|ations)$", r"\1iz\2", w)
+        w = re.sub(r"^(judg|acknowledg)ement(s?)$", r"\1ment\2", w)
+        w = re.sub(r"^(fav|hon|col|behavi|lab|endeav)our", r"\1or", w)
+        out.append("http" if w == "https" else w)
+    return re.sub(r"\bcopyright owner\b", "copyright holder", " ".join(out)).replace("non commercial", "noncommercial").replace("sub licens", "sublicens").replace("per cent", "percent")
+
+
+def test_whole_licence_texts(spark):
+    """Texts of the system's licence folder, as they are and wrapped anew, and the short ones, against plain digests."""
+    import pathlib
+    import textwrap
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+             "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3"}
+    folder = pathlib.Path("/usr/share/common-licenses")
+    docs = [(want, (folder / f).read_text()) for f, want in names.items() if (folder / f).exists()]
+    docs += [(want, "// " + text.replace("\n", "\n// ").upper()) for want, text in docs if want in ("Apache-2.0", "MPL-2.0", "CC0-1.0")]
+    short = {"MIT": licences.MIT, "ISC": licences.GRANT + licences.KEEP_NOTICE + licences.NO_WARRANTY, "0BSD": licences.GRANT + ". " + licences.NO_WARRANTY, "Zlib": licences.ZLIB,
+             "Unlicense": licences.UNLICENSE, "BSL-1.0": licences.BOOST, "MIT-0": licences.MIT_GRANT + licences.MIT_TAIL, "BSD-2-Clause": licences.bsd(2, "12"), "BSD-3-Clause": licences.bsd(3, "123")}
+    docs += [(want, "Copyright (c) 1999-2020 A. N. Author\n\n" + textwrap.fill(text, 60)) for want, text in short.items()]
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(docs)], "doc_id long, text string")
+    found = {r.doc_id: r for r in licences.scan(frame).collect()}
+    assert len({w for w, _ in docs}) >= 12 or not folder.exists()
+    for k, (want, text) in enumerate(docs):
+        assert found[k].licence == want, want
+        assert found[k].digest == hashlib.sha256(plain_canonical(text).encode()).hexdigest(), want
+
+
+def test_licence_sql_equals_the_scan(spark):
+    import duckdb
+
+    rows = [(1, licences.bsd(3, "***")), (2, "x\nAll rights reserved.\nSPDX-License-Identifier: GPL-2.0-only"), (3, None), (4, "Licence:\n" + licences.ZLIB), (5, "Distributed under CC BY-SA 3.0")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(licences.sql()).fetchall()
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found)
 
 
 def test_classifier_learns_held_out_labels(spark):
