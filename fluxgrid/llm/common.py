@@ -75,6 +75,12 @@ def store(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> str:
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,10 +1,15 @@
 """SimHash near-duplicates: byte-position index with count filtering, exact verification, components.
 
-Two 64-bit fingerprints that differ in at most 4 bits share at least 4 of their 8 positional bytes.  The
-index lists every fingerprint under each of its 70 groups of 4 positional bytes, so pairs with fewer shared
-bytes never meet; for those that meet the shared bytes are tallied and the bits verified.  A pair is looked
-at under the first 4 bytes that it shares only.  A long list yields the links of a spanning forest of its
-fingerprints, found block by block, not all pairs.
+Two 64-bit fingerprints that differ in at most 4 bits share at least 4 of their 8 positional bytes, so at least
+3 of the first 7.  The index lists every fingerprint under each of its 35 triples of positional bytes among the
+first 7: a list of one byte value would hold 1/256 of all fingerprints, and pairs of it grow with the square of
+the corpus.  For each pair that meets in a list the shared positional bytes are tallied over all 8 places; pairs
+with fewer than 4 are dropped, the bits of the others are verified.  A pair is looked at under the first triple
+that it shares only.
+
+Lists up to SHORT are compared pair by pair, longer ones yield the links of a spanning forest, not all pairs.
+A list beyond LONG is not held by one task: its rows are cut into blocks, and every two blocks go to a task of
+their own, which spans their links; so any list is done exactly in bounded memory.
 
 Equal fingerprints are one node from the start, so copies cost nothing after their first aggregation.
 
@@ -26,14 +31,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.llm.bpe import utf8_rows
-from fluxgrid.llm.common import id_text, stored
+from fluxgrid.llm.common import drop, id_text, map_arrow, store, stored
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-#: 8 positional bytes; at most 4 differing bits leave 4 of them equal.
-SHARED = 8 - MAX_BITS
-GROUPS = list(combinations(range(8), SHARED))
+#: Of 8 positional bytes at most 4 differing bits leave 4 equal, so 3 of the first 7, which make up a list's key.
+SHARED, PLACES, KEY_BYTES = 8 - MAX_BITS, 7, 3
+GROUPS = list(combinations(range(PLACES), KEY_BYTES))
 #: Lists up to this length are compared pair by pair, longer ones by a forest.
 SHORT = 32
+#: Most rows of a list that one task holds, and rows of a block of a longer list.
+LONG, LIST_BLOCK = 8192, 4096
 #: Shingles whose bits are tallied at once.
 BLOCK = 1 << 15
 
@@ -77,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = id_text(docs, id_col, text_col)
     if digests:
         rows = rows.withColumn("digest", text_digest("text"))
-    return rows.mapInArrow(run, ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names) + ", fp long")
+    return map_arrow(rows, run, ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names) + ", fp long")
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,34 +94,31 @@ def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(fp), 2048):
             part = np.ascontiguousarray(fp[a : a + 2048])
             octets = part.view(np.uint8).reshape(-1, 8).astype(np.int64)
-            keys = [
-                (g << 32) | octets[:, p[0]] << 24 | octets[:, p[1]] << 16 | octets[:, p[2]] << 8 | octets[:, p[3]]
-                for g, p in enumerate(GROUPS)
-            ]
+            keys = [(g << 24) | octets[:, p[0]] << 16 | octets[:, p[1]] << 8 | octets[:, p[2]] for g, p in enumerate(GROUPS)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(keys)), pa.array(np.tile(part, len(GROUPS)).view(np.int64))], ["list", "fp"]
             )
 
 
+#: Number of a group by the set of its places, as bits.
+NUMBERS = np.full(1 << PLACES, -1, np.int64)
+for _g, _p in enumerate(GROUPS):
+    NUMBERS[sum(1 << k for k in _p)] = _g
+
+
 def first_group(shared: np.ndarray) -> np.ndarray:
     """Number of the first group among shared bytes; ``shared`` is (pairs, 8) of bool with 4 or more each."""
-    place = np.argsort(~shared, axis=1, kind="stable")[:, :SHARED]
-    codes = (1 << place).sum(axis=1)
-    table = np.full(256, -1, np.int64)
-    for g, p in enumerate(GROUPS):
-        table[sum(1 << k for k in p)] = g
-    return table[codes]
+    place = np.argsort(~shared[:, :PLACES], axis=1, kind="stable")[:, :KEY_BYTES]
+    return NUMBERS[(1 << place).sum(axis=1)]
 
 
 def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs that pass the count filter and the verification, their first shared group)."""
+    """(places of the pairs that pass the count filter and the verification, their first shared group)."""
     x = a ^ b
     shared = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) == 0
-    ok = (shared.sum(axis=1) >= SHARED) & (np.bitwise_count(x) <= MAX_BITS)
-    group = np.full(len(x), -1, np.int64)
-    if ok.any():
-        group[ok] = first_group(shared[ok])
-    return ok, group
+    kept = np.flatnonzero(shared.sum(axis=1) >= SHARED)
+    kept = kept[np.bitwise_count(x[kept]) <= MAX_BITS]
+    return kept, first_group(shared[kept])
 
 
 def short_links(lists: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +128,10 @@ def short_links(lists: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndar
         same = np.flatnonzero(lists[d:] == lists[:-d])
         if not len(same):
             break
-        ok, group = near(fps[same], fps[same + d])
-        ok &= group == lists[same] >> 32
-        left.append(fps[same][ok])
-        right.append(fps[same + d][ok])
+        kept, group = near(fps[same], fps[same + d])
+        kept = kept[group == lists[same[kept]] >> 24]
+        left.append(fps[same[kept]])
+        right.append(fps[same[kept] + d])
     empty = np.zeros(0, np.uint64)
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
@@ -151,53 +155,120 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
+LINK_NAMES, LINK_KINDS = ["a", "b", "list", "block"], "a long, b long, list long, block long"
+
+
+def link_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Links as rows."""
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none], LINK_NAMES)
+
+
+def list_links(lists: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links of whole lists."""
+    cuts = np.flatnonzero(np.diff(lists)) + 1
+    starts, ends = np.r_[0, cuts], np.r_[cuts, len(lists)]
+    size = ends - starts
+    some = np.repeat((size > 1) & (size <= SHORT), size)
+    long = [forest(fps[s:e]) for s, e in zip(starts[size > SHORT], ends[size > SHORT])]
+    for a, b in [short_links(lists[some], fps[some]), *long]:
+        if len(a):
+            yield link_rows(a, b)
+
+
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of rows that are sorted by list; a list may go over several batches."""
-
-    def links(lists: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero(np.diff(lists)) + 1
-        starts, ends = np.r_[0, cuts], np.r_[cuts, len(lists)]
-        size = ends - starts
-        long = [forest(fps[s:e]) for s, e in zip(starts[size > SHORT], ends[size > SHORT])]
-        some = np.repeat((size > 1) & (size <= SHORT), size)
-        for a, b in [short_links(lists[some], fps[some]), *long]:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Links (a, b) of rows that are sorted by list; of lists beyond LONG the rows: (a, null, list, block)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # of the list that may go on
+    size = 0  # its rows so far; they are passed on when they are too many
+
+    def passed(lists: np.ndarray, fps: np.ndarray, start: int) -> pa.RecordBatch:
+        block = (np.arange(len(fps)) + start) // LIST_BLOCK
+        none = pa.nulls(len(fps), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), none, pa.array(lists), pa.array(block)], LINK_NAMES)
+
+    key = None
     for b in batches:
         lists, fps = b.column("list").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
         if not len(lists):
             continue
-        if held and lists[0] == lists[-1] == held[-1][0][-1]:
-            held.append((lists, fps))  # the list goes on
-            continue
-        lists = np.concatenate([*(x for x, _ in held), lists])
-        fps = np.concatenate([*(x for _, x in held), fps])
-        # the last list may go on in the next batch
+        more = int(np.searchsorted(lists, key, "right")) if key is not None else 0
+        if more:
+            if size <= LONG < size + more:
+                for k, f in held:
+                    yield passed(k, f, size - sum(len(x) for _, x in held))
+                    held = held[1:]
+            if size + more > LONG:
+                yield passed(lists[:more], fps[:more], size)
+            else:
+                held.append((lists[:more], fps[:more]))
+            size += more
+            lists, fps = lists[more:], fps[more:]
+            if not len(lists):
+                continue  # the list may go on
         cut = int(np.searchsorted(lists, lists[-1]))
-        yield from links(lists[:cut], fps[:cut]) if cut else ()
-        held = [(lists[cut:], fps[cut:])]
+        done = [*held, (lists[:cut], fps[:cut])]
+        whole = [np.concatenate([x[k] for x in done]) for k in (0, 1)]
+        if len(whole[0]):
+            yield from list_links(*whole)
+        key, size, held = lists[-1], len(lists) - cut, [(lists[cut:], fps[cut:])]
+        if size > LONG:
+            yield passed(*held.pop(), 0)
+    if held:
+        yield from list_links(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+
+
+def spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of every two blocks (list: their key), whose rows are sorted by key."""
+    held: list[np.ndarray] = []
+    key = None
+    for b in batches:
+        keys, fps = b.column("list").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:]):
+            if s == e:
+                continue
+            if keys[s] != key and held:
+                yield link_rows(*forest(np.concatenate(held)))
+                held = []
+            key = keys[s]
+            held.append(fps[s:e])
     if held:
-        yield from links(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        yield link_rows(*forest(np.concatenate(held)))
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints (column fp) with at most MAX_BITS differing bits."""
-    index = nodes.select("fp").mapInArrow(listed, "list long, fp long")
-    return index.repartition("list").sortWithinPartitions("list").mapInArrow(linked, "a long, b long")
+    index = map_arrow(nodes.select("fp"), listed, "list long, fp long")
+    found = stored(map_arrow(index.repartition("list").sortWithinPartitions("list"), linked, LINK_KINDS), "links")
+    rows = found.where("b IS NULL")
+    # a row for each block of a long list, so no task joins a whole list
+    blocks = rows.groupBy("list").agg(F.max("block").alias("last")).select(
+        "list", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block")
+    )
+    dealt = rows.join(blocks, ["list", "block"]).select(
+        "a", "list", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other")
+    )
+    pairs = dealt.where("block <> other").select(
+        F.xxhash64("list", F.least("block", "other"), F.greatest("block", "other")).alias("list"), F.col("a").alias("fp")
+    )
+    more = map_arrow(pairs.repartition("list").sortWithinPartitions("list"), spanned, LINK_KINDS)
+    return found.where("b IS NOT NULL").select("a", "b").union(more.select("a", "b"))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the least node of each component, for nodes that have links; rounds of two star steps.
 
-    Every round is written to the shared folder; no edges reach the driver.
+    Every round is written to the shared folder in place of the last one; no edges reach the driver.  The joins
+    by node are plain sort-merge joins, so a root with very many neighbours is split by the adaptive planner.
     """
-    now = stored(
+    spark = edges.sparkSession
+    path = store(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
     )
+    kind = edges.schema["a"].dataType.simpleString()
     last = None
     while True:
+        now = spark.read.schema(f"u {kind}, v {kind}").parquet(path)
         # large star: neighbours above a node move to the least node that it knows
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -207,9 +278,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")
         )
-        now = stored(
+        before, path = path, store(
             small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), name
         )
+        drop(spark, before)
+        now = spark.read.schema(f"u {kind}, v {kind}").parquet(path)
         state = now.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.crc32(F.concat_ws("/", "u", "v")))
         ).first()
@@ -250,16 +323,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = fingerprints(docs, id_col, text_col, digests=True)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest"))
     nodes = stored(prints.groupBy("fp").agg(least.alias("least")), "nodes")
+    name = lambda i, digest: F.concat(F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("")), F.lit("|"), digest)
     keep = rooted(nodes).groupBy("root").agg(F.min("least").alias("least"))
-    keep = keep.select(F.col("least.doc_id").alias("__kept_id"), F.col("least.digest").alias("__kept_digest"))
+    keep = keep.select(name(F.col("least.doc_id"), F.col("least.digest")).alias("__key"))
     others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != text_col and "map<" not in kind]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-        F.col(id_col).alias("__id"),
-        text_digest(text_col).alias("__digest"),
+        name(F.col(id_col), text_digest(text_col)).alias("__key"),
         F.xxhash64(*others).alias("__tie"),
     )
-    kept = rows.join(
-        keep, F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__digest") == F.col("__kept_digest")), "left_semi"
-    )
-    return kept.groupBy("__id", "__digest").agg(F.min_by("__row", "__tie").alias("__row")).select("__row.*")
+    # repeated rows meet before the shuffle, and the join keeps the partitions of the groups: texts move once
+    one = rows.groupBy("__key").agg(F.min_by("__row", "__tie").alias("__row"))
+    return one.join(keep, "__key", "left_semi").select("__row.*")

@@ -65,7 +65,7 @@ def test_long_lists_and_batches():
     links = set()
     for size in (37, 10_000_000):
         batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + size]], pa.int64()) for k in (0, 1)], ["list", "fp"]) for i in range(0, len(rows), size)]
-        links = {(a & (1 << 64) - 1, b & (1 << 64) - 1) for x in simhash.linked(batches) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())}
+        links = {(a & (1 << 64) - 1, b & (1 << 64) - 1) for x in simhash.linked(batches) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist()) if b is not None}
         assert all((a ^ b).bit_count() <= 4 for a, b in links)
         parent = {int(p): int(p) for p in prints}
 
@@ -80,6 +80,59 @@ def test_long_lists_and_batches():
         assert {p: find(p) for p in parent} == plain_components(parent)
 
 
+def test_lists_too_long_for_a_task(spark, monkeypatch):
+    """Blocks of long lists, over many batches: the same components as all pairs."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "LONG", 50)
+    monkeypatch.setattr(simhash, "LIST_BLOCK", 20)
+    rng = np.random.default_rng(11)
+    centre = int(rng.integers(0, 1 << 62))
+    prints = {centre ^ sum(1 << int(k) for k in rng.choice(24, rng.integers(0, 9), replace=False)) for _ in range(400)}
+    prints |= {int(x) for x in rng.integers(0, 1 << 63, 100)}
+    rows = sorted(zip(*(np.concatenate([x.column(c).to_numpy() for x in simhash.listed([pa.RecordBatch.from_arrays([pa.array(sorted(prints), pa.int64())], ["fp"])])]).tolist() for c in ("list", "fp"))))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 33]], pa.int64()) for k in (0, 1)], ["list", "fp"]) for i in range(0, len(rows), 33)]
+    links, blocks = [], {}
+    for x in simhash.linked(batches):
+        for a, b, key, block in zip(*(x.column(c).to_pylist() for c in simhash.LINK_NAMES)):
+            if b is None:
+                blocks.setdefault(key, {}).setdefault(block, []).append(a)
+            else:
+                links.append((a, b))
+    assert blocks and all(len(v) <= 20 for lists in blocks.values() for v in lists.values())
+    sizes = {}
+    for r in rows:
+        sizes[r[0]] = sizes.get(r[0], 0) + 1
+    assert {k: sum(map(len, v.values())) for k, v in blocks.items()} == {k: n for k, n in sizes.items() if n > 50}
+    pairs = [(hash((k, i, j)), f) for k, v in blocks.items() for i in v for j in v if i < j for f in v[i] + v[j]]
+    pairs.sort()
+    split = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in pairs[i : i + 70]], pa.int64()) for k in (0, 1)], ["list", "fp"]) for i in range(0, len(pairs), 70)]
+    links += [p for x in simhash.spanned(split) for p in zip(x.column("a").to_pylist(), x.column("b").to_pylist())]
+    parent = {p: p for p in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        assert (a ^ b).bit_count() <= 4
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert {p: find(p) for p in parent} == plain_components(parent)
+
+
+def test_long_lists_in_the_whole_plan(spark):
+    rng = np.random.default_rng(2)
+    prints = sorted({0x0123456789ABCDEF ^ sum(1 << int(k) for k in rng.choice(22, rng.integers(0, 9), replace=False)) for _ in range(18000)})
+    found = simhash.rooted(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()
+    root = {r.fp: r.root for r in found}
+    array = np.array(prints, np.uint64)
+    assert len(prints) > simhash.LONG
+    for p in prints:
+        assert {root[int(q)] for q in array[np.bitwise_count(array ^ np.uint64(p)) <= 4]} == {root[p]}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r.node: r.root for r in simhash.components(edges).collect()}
