@@ -14,11 +14,14 @@ document with a smaller id.  Steps, each over all documents:
    extended word by word against its passage, so what is removed is exact, whatever hashes do.
 
 Automata are sharded by family, and the spans of a large family are dealt over several tasks, each with the
-same automata.  A family with many phrases gets several automata, one after the other.
+same automata.  A family with many phrases gets several automata, one after the other.  The spans are all of a
+document that can hold a confirmed passage; the rest of it, which shares no anchor with another document, is
+known to hold none and is not streamed.
 
 Cases: null and empty texts have no words; null ids are never smaller and lose nothing; texts of fewer than
-WINDOW words lose nothing; rows with equal ids count as one document and lose nothing to each other; very
-long texts are read whole; other columns are ignored; an empty table gives an empty result.
+WINDOW words lose nothing; rows with equal ids count as one document and lose nothing to each other; ids may be
+of any type that has an order; very long texts are read whole; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -34,25 +37,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxgrid.llm.bpe import utf8_rows
-from fluxgrid.llm.common import id_text, stored
+from fluxgrid.llm.common import id_text, map_arrow, stored
 
 WINDOW, GRAM = 50, 20
 #: Phrases start at every STEP-th word of a passage and at its last place, so each window holds a whole one.
 STEP = WINDOW - GRAM + 1
 #: Words that a worker's cache of hashes holds, phrases in one automaton, bytes of spans for one task.
-MAX_WORDS, MAX_PHRASES, TASK_BYTES = 400_000, 50_000, 16 << 20
+MAX_WORDS, MAX_PHRASES, TASK_BYTES = 200_000, 50_000, 4 << 20
+#: Parts into which the rows of one family are dealt before they meet its size, and bytes of remembered spans.
+PARTS, MEMO_BYTES = 64, 4 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 class WordHashes(dict):
-    """UTF-8 word -> 64-bit hash; emptied when full."""
+    """UTF-8 word -> 64-bit hash; emptied when full, long words are not kept."""
 
     def __missing__(self, word: bytes) -> int:
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) > 64:
+            return out
         if len(self) >= MAX_WORDS:
             self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        self[word] = out
         return out
 
 
@@ -125,7 +133,7 @@ def measured(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, key binary, marks array<long>")
+    return map_arrow(docs, run, f"doc_id {kind}, n_words long, key binary, marks array<long>")
 
 
 def candidates(firsts: DataFrame) -> DataFrame:
@@ -136,6 +144,16 @@ def candidates(firsts: DataFrame) -> DataFrame:
     return rows.join(shared, "mark").groupBy("doc_id", "key").agg(F.collect_list(F.struct("mark", "root")).alias("kept"))
 
 
+def id_kind(rows: DataFrame, column: str = "doc_id") -> str:
+    """Type of the ids in a schema string."""
+    return rows.schema[column].dataType.simpleString()
+
+
+def batch_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """Rows as a batch."""
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
+
+
 def spans(rows: DataFrame) -> DataFrame:
     """root, doc_id, key, start (word), words (joined): runs of windows whose anchors have one root."""
 
@@ -151,24 +169,23 @@ def spans(rows: DataFrame) -> DataFrame:
                 marks = anchors(word_hashes(words)).view(np.int64)
                 known = np.array([x["mark"] for x in own], np.int64)
                 order = np.argsort(known)
-                known, roots = known[order], np.array([x["root"] for x in own], np.int64)[order]
+                known = known[order]
+                numbers: dict = {}  # of roots
+                roots = np.array([numbers.setdefault(own[k]["root"], len(numbers)) for k in order.tolist()], np.int64)
+                names = list(numbers)
                 at = np.minimum(np.searchsorted(known, marks), len(known) - 1)
                 hit = known[at] == marks
-                root = np.where(hit, roots[at], 0)
+                root = np.where(hit, roots[at], -1)
                 # a run ends where its root changes
                 for a, z in runs(hit):
                     cuts = [a, *(np.flatnonzero(np.diff(root[a:z])) + a + 1).tolist(), z]
                     for s, e in zip(cuts, cuts[1:]):
-                        out.append((int(root[s]), doc, key, s, b" ".join(words[s : e + WINDOW - 1]).decode()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[k] for x in out], kind)
-                    for k, kind in enumerate([pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()])
-                ],
-                ["root", "doc_id", "key", "start", "words"],
-            )
+                        out.append((names[root[s]], doc, key, s, b" ".join(words[s : e + WINDOW - 1]).decode()))
+            one = b.schema.field("doc_id").type
+            yield batch_of(out, {"root": one, "doc_id": one, "key": pa.binary(), "start": pa.int64(), "words": pa.string()})
 
-    return rows.mapInArrow(run, "root long, doc_id long, key binary, start long, words string")
+    kind = id_kind(rows)
+    return map_arrow(rows, run, f"root {kind}, doc_id {kind}, key binary, start long, words string")
 
 
 def windows(rows: DataFrame) -> DataFrame:
@@ -176,15 +193,15 @@ def windows(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            root, doc = b.column("root").to_numpy(), b.column("doc_id").to_numpy()
-            for k, t in enumerate(utf8_rows(b, "words")):
-                x = np.unique(rolling(word_hashes(t.split()), WINDOW)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), root[k])), pa.array(np.full(len(x), doc[k])), pa.array(x)],
-                    ["root", "doc_id", "hash"],
-                )
+            found = [np.unique(rolling(word_hashes(t.split()), WINDOW)).view(np.int64) for t in utf8_rows(b, "words")]
+            at = pa.array(np.repeat(np.arange(len(found)), np.array([len(x) for x in found], np.int64)))
+            hashes = np.concatenate([np.zeros(0, np.int64), *found])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("root").take(at), b.column("doc_id").take(at), pa.array(hashes)], ["root", "doc_id", "hash"]
+            )
 
-    return rows.select("root", "doc_id", "words").mapInArrow(run, "root long, doc_id long, hash long")
+    kind = id_kind(rows)
+    return map_arrow(rows.select("root", "doc_id", "words"), run, f"root {kind}, doc_id {kind}, hash long")
 
 
 def confirmed(rows: DataFrame) -> DataFrame:
@@ -211,23 +228,31 @@ def passages(rows: DataFrame) -> DataFrame:
                 words = t.split()
                 found = np.isin(rolling(word_hashes(words), WINDOW).view(np.int64), hashes[k].values.to_numpy())
                 out += [(root[k], doc[k], b" ".join(words[s : e + WINDOW - 1]).decode()) for s, e in runs(found)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[c] for x in out], t) for c, t in enumerate([pa.int64(), pa.int64(), pa.string()])],
-                ["root", "doc_id", "words"],
-            )
+            one = b.schema.field("doc_id").type
+            yield batch_of(out, {"root": one, "doc_id": one, "words": pa.string()})
 
-    return rows.select("root", "doc_id", "words", "hashes").mapInArrow(run, "root long, doc_id long, words string")
+    kind = id_kind(rows)
+    return map_arrow(
+        rows.select("root", "doc_id", "words", "hashes"), run, f"root {kind}, doc_id {kind}, words string"
+    )
 
 
 class Family:
-    """Automata over the phrases of one family's passages."""
+    """Automata over the phrases of one family's passages.
+
+    What covers a span depends on its words and on how many passages are of smaller documents, so spans of equal
+    words, of which a common passage has very many, are looked at once.
+    """
 
     def __init__(self):
-        self.passages: list[tuple[int, list[str]]] = []
+        self.passages: list[tuple[object, list[str]]] = []
         self.phrases: dict[str, list[tuple[int, int]]] = {}
         self.automata: list | None = None
+        self.firsts: list | None = None
+        self.memo: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        self.memo_size = 0
 
-    def add(self, doc: int, text: str) -> None:
+    def add(self, doc, text: str) -> None:
         """A passage of a document."""
         words = text.split(" ")
         n = len(self.passages)
@@ -250,8 +275,21 @@ class Family:
                 self.automata.append(machine)
         return self.automata
 
-    def covered(self, doc: int, text: str) -> list[tuple[int, int]]:
+    def covered(self, doc, text: str) -> list[tuple[int, int]]:
         """[start, end) words of a span that windows of passages of smaller documents cover."""
+        if self.firsts is None:
+            self.firsts = sorted({d for d, _ in self.passages})
+        key = bisect_left(self.firsts, doc), text
+        if key not in self.memo:
+            if self.memo_size > MEMO_BYTES:
+                self.memo.clear()
+                self.memo_size = 0
+            self.memo[key] = self.located(doc, text)
+            self.memo_size += len(text) + 200
+        return self.memo[key]
+
+    def located(self, doc, text: str) -> list[tuple[int, int]]:
+        """The same by the automata."""
         words = text.split(" ")
         starts = [0]
         for w in words:
@@ -307,27 +345,34 @@ def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 family.add(doc, words)
             elif family.passages:
                 out += [(doc, key, start + a, start + z) for a, z in family.covered(doc, words)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64(), pa.binary(), pa.int64(), pa.int64()])],
-            ["doc_id", "key", "first", "end"],
+        yield batch_of(
+            out, {"doc_id": b.schema.field("doc_id").type, "key": pa.binary(), "first": pa.int64(), "end": pa.int64()}
         )
 
 
 def located(found: DataFrame, span: DataFrame) -> DataFrame:
-    """Covered words of all spans, by each family's automata; large families are dealt over several tasks."""
+    """Covered words of all spans, by each family's automata; large families are dealt over several tasks.
+
+    The size of a family is known in each of PARTS parts, so the rows of no family meet it in one task.
+    """
     sized = span.groupBy("root").agg(F.sum(F.length("words")).alias("size")).where(F.col("size") > TASK_BYTES)
-    sized = sized.select("root", F.ceil(F.col("size") / TASK_BYTES).cast("int").alias("salts"))
+    sized = sized.select(
+        "root",
+        F.ceil(F.col("size") / TASK_BYTES).cast("int").alias("salts"),
+        F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"),
+    )
     salts = F.coalesce("salts", F.lit(1))
-    docs = span.join(sized, "root", "left").select(
+    part = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(PARTS)).cast("int")
+    docs = span.withColumn("part", part("start", "doc_id")).join(sized, ["root", "part"], "left").select(
         "root", F.pmod(F.xxhash64("doc_id", "start"), salts).cast("int").alias("salt"),
         F.lit(1).alias("kind"), "doc_id", "key", "start", "words",
     )
-    phrases = found.join(sized, "root", "left").select(
+    phrases = found.withColumn("part", part("words")).join(sized, ["root", "part"], "left").select(
         "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
         F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("binary").alias("key"), F.lit(0).cast("long").alias("start"), "words",
     )
     rows = phrases.unionByName(docs).repartition("root", "salt").sortWithinPartitions("root", "salt", "kind")
-    return rows.mapInArrow(streamed, "doc_id long, key binary, first long, end long")
+    return map_arrow(rows, streamed, f"doc_id {id_kind(rows)}, key binary, first long, end long")
 
 
 def trimmed(rows: DataFrame) -> DataFrame:
@@ -346,18 +391,15 @@ def trimmed(rows: DataFrame) -> DataFrame:
                     keep[p["first"] : p["end"]] = False
                 left = b" ".join(w for w, k in zip(words, keep.tolist()) if k)
                 out.append((doc, key, int((~keep).sum()), left.decode()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64(), pa.binary(), pa.int64(), pa.string()])],
-                ["doc_id", "key", "n_removed", "kept"],
-            )
+            one = b.schema.field("doc_id").type
+            yield batch_of(out, {"doc_id": one, "key": pa.binary(), "n_removed": pa.int64(), "kept": pa.string()})
 
-    return rows.mapInArrow(run, "doc_id long, key binary, n_removed long, kept string")
+    return map_arrow(rows, run, f"doc_id {id_kind(rows)}, key binary, n_removed long, kept string")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row, after all recurring windows are taken out."""
     rows = id_text(docs, id_col, text_col)
-    rows = rows.select(F.col("doc_id").cast("long"), "text")
     every = stored(measured(rows), "measured")
     firsts = stored(
         every.where((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())

@@ -176,9 +176,17 @@ def test_substring_dedup_of_overlapping_passages(spark):
     assert found == sorted((d, *want[d, t]) for d, t in rows)
 
 
+def test_substring_dedup_of_text_ids(spark, odd_rows):
+    rows = [(None if d is None else f"id-{d:03}", t) for d, t in odd_rows]
+    found = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    want = plain_removed(rows)
+    assert found == sorted((str(d), *want[d, t]) for d, t in rows)
+
+
 def test_many_automata_and_salts(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "MAX_PHRASES", 2)
     monkeypatch.setattr(substring_dedup, "TASK_BYTES", 500)
+    monkeypatch.setattr(substring_dedup, "MEMO_BYTES", 600)
     test_substring_dedup_of_overlapping_passages(spark)
 
 
