@@ -42,8 +42,10 @@ STOPS = re.compile(
 
 
 #: A capital before a letter from U+0300 up, perhaps a combining mark: the pair must be composed before it is
-#: put in lower case, as some marks join the small letter only.  Also the start of a special token.
-AS_IS = re.compile(rb"[A-Z][\xcc-\xff]|<\|")
+#: put in lower case, as some marks join the small letter only.
+AS_IS = re.compile(rb"[A-Z][\xcc-\xff]")
+#: Bytes that begin no letter from U+0300 up.
+LOW_BYTES = bytes(range(0xCC))
 
 
 def cache_words(text: bytes) -> list[bytes]:
@@ -53,7 +55,9 @@ def cache_words(text: bytes) -> list[bytes]:
     such a stop never joins another piece.  A text with such marks, or that may hold special tokens, which are
     matched in their case, is only split; its words are composed and put in lower case one by one.
     """
-    return text.split() if AS_IS.search(text) else STOPS.sub(rb" \g<0>", text.lower()).split()
+    if b"<|" in text or (not text.isascii() and text.translate(None, LOW_BYTES) and AS_IS.search(text)):
+        return text.split()
+    return STOPS.sub(rb" \g<0>", text.lower()).split()
 
 
 def byte_letters() -> list[str]:

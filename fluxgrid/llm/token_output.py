@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxgrid.llm.bpe import PIECE_BYTES, WORD_BYTES, Cache, byte_letters, cache_words, list_array, normal_pieces, packed, utf8_rows
+from fluxgrid.llm.bpe import PIECE_BYTES, Cache, byte_letters, cache_words, list_array, normal_pieces, packed, utf8_rows
 from fluxgrid.llm.common import id_text, map_arrow, store
 
 END_ID = 1
@@ -33,6 +33,9 @@ FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
 }
 
+#: Bytes of one generation of a worker's cache of words; this operator keeps nothing else, so it is large.
+WORD_BYTES = 72 << 20
+
 _encoders: dict[str, Cache] = {}
 
 
