@@ -42,8 +42,8 @@ from fluxgrid.llm.common import id_text, map_arrow, stored
 WINDOW, GRAM = 50, 20
 #: Phrases start at every STEP-th word of a passage and at its last place, so each window holds a whole one.
 STEP = WINDOW - GRAM + 1
-#: Words that a worker's cache of hashes holds, phrases in one automaton, bytes of spans for one task.
-MAX_WORDS, MAX_PHRASES, TASK_BYTES = 200_000, 50_000, 4 << 20
+#: Words that a worker's cache of hashes holds, phrases in one automaton, bytes and number of spans for one task.
+MAX_WORDS, MAX_PHRASES, TASK_BYTES, TASK_SPANS = 200_000, 50_000, 4 << 20, 256
 #: Parts into which the rows of one family are dealt before they meet its size, and bytes of remembered spans.
 PARTS, MEMO_BYTES = 64, 4 << 20
 
@@ -318,6 +318,8 @@ class Family:
                         seen.add((k, at - s))  # nothing else on this diagonal
                     if z - a >= WINDOW:
                         gone[a : z - WINDOW + 1] = True
+                        if gone[low:high].all():
+                            break  # no other passage adds to what holds this phrase
         return merged([(a, z + WINDOW - 1) for a, z in runs(gone)])
 
 
@@ -355,10 +357,12 @@ def located(found: DataFrame, span: DataFrame) -> DataFrame:
 
     The size of a family is known in each of PARTS parts, so the rows of no family meet it in one task.
     """
-    sized = span.groupBy("root").agg(F.sum(F.length("words")).alias("size")).where(F.col("size") > TASK_BYTES)
-    sized = sized.select(
+    sized = span.groupBy("root").agg(
+        F.greatest(F.sum(F.length("words")) / TASK_BYTES, F.count("*") / TASK_SPANS).alias("tasks")
+    )
+    sized = sized.where("tasks > 1").select(
         "root",
-        F.ceil(F.col("size") / TASK_BYTES).cast("int").alias("salts"),
+        F.ceil("tasks").cast("int").alias("salts"),
         F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"),
     )
     salts = F.coalesce("salts", F.lit(1))
