@@ -8,11 +8,13 @@ null: a port without a value.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fluxgrid.storage import stored
+
 #: Spark type of each element kind; bytes and shorts are unsigned.
 SPARK_TYPES = {
     "byte": "smallint",
@@ -51,11 +53,22 @@ def to_kind(value: Column, kind: str) -> Column:
 
 @dataclass(frozen=True)
 class Numbers:
-    """A number array: ``df`` with ``_i`` and ``columns`` of one ``kind``."""
+    """A number array: ``df`` with ``_i`` and ``columns`` of one ``kind``.
+
+    Elementwise results remember the frame they come from (``root``) and the selections since (``steps``), so
+    arrays of one frame are put side by side by a projection.
+    """
 
     df: DataFrame
     columns: tuple[str, ...]
     kind: str = "double"
+    root: DataFrame | None = None
+    steps: tuple[dict[str, Column], ...] = ()
+
+    @property
+    def source(self) -> DataFrame:
+        """Frame of which this array is a selection."""
+        return self.df if self.root is None else self.root
 
     @property
     def block_length(self) -> int:
@@ -66,7 +79,7 @@ class Numbers:
         """``_i`` and new columns by name."""
         kind = kind or self.kind
         df = self.df.select("_i", *[e.alias(n) for n, e in exprs.items()])
-        return Numbers(df, tuple(exprs), kind)
+        return Numbers(df, tuple(exprs), kind, self.source, (*self.steps, dict(exprs)))
 
     def map(self, f, kind: str | None = None) -> Numbers:
         """``f`` of every column, cast to ``kind``."""
@@ -86,7 +99,7 @@ class Numbers:
         end = start + length if length else len(self.columns)
         if not 0 <= start < end <= len(self.columns):
             raise ValueError(f"columns {start}..{end} of {len(self.columns)}")
-        return replace(self, df=self.df.select("_i", *self.columns[start:end]), columns=self.columns[start:end])
+        return self.with_columns({c: F.col(c) for c in self.columns[start:end]})
 
 
 def array(df: DataFrame, index: str, columns: list[str], kind: str = "double") -> Numbers:
@@ -95,28 +108,23 @@ def array(df: DataFrame, index: str, columns: list[str], kind: str = "double") -
     return Numbers(df.select(F.col(index).cast("bigint").alias("_i"), *types.values()), tuple(columns), kind)
 
 
-def numbered(df: DataFrame, keys: list[str], buckets: int = 64) -> DataFrame:
-    """Add ``_i``: the position by ``keys``, of which the first is a number.
+def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_i``: the position by ``keys``.
 
-    Rows are dealt to buckets by quantiles of the first key, numbered within their bucket and moved by the sizes
-    of the buckets before, so no task sees all rows; only the quantiles reach the driver.
+    Rows are dealt by ranges of all keys and sorted within their range; the table of places is stored, so ranges
+    are fixed; rows then move by the sizes of the ranges before.  A range has about as many rows as any other
+    unless rows are equal in all keys.
     """
-    first = F.col(keys[0])
-    cuts = df.select(F.percentile_approx(first, [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
-    bucket = F.lit(0)
-    for cut in sorted(set(cuts)):
-        bucket = bucket + (first > F.lit(cut)).cast("int")
-    rows = df.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
-    sizes = rows.groupBy("_bucket").count()
-    before = F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each bucket
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
-    return (
-        rows.withColumn("_place", place)
-        .join(F.broadcast(starts), "_bucket")
-        .withColumn("_i", (F.col("_start") + F.col("_place") - 1).cast("bigint"))
-        .drop("_bucket", "_place", "_start")
+    place = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = stored(
+        ranged.select("*", F.shiftright(place, 33).cast("int").alias("_range"), place.bitwiseAND((1 << 33) - 1).alias("_place")),
+        "ranges",
     )
+    before = F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    # a row for each range, as many as there are shuffle partitions
+    return rows.join(F.broadcast(starts), "_range").withColumn("_i", F.col("_start") + F.col("_place")).drop("_range", "_place", "_start")
 
 
 def literal_array(spark: SparkSession, rows: list[list[float]], kind: str = "double") -> Numbers:
@@ -135,21 +143,42 @@ def literal_array(spark: SparkSession, rows: list[list[float]], kind: str = "dou
     return Numbers(spark.range(1).select(F.inline(values)), names, "double").cast(kind)
 
 
+def side_by_side(parts: list, keys: list[str], outputs: list[list[tuple[str, str]]]) -> DataFrame:
+    """Selections of one frame as one projection: ``outputs`` has (column, new name) pairs for each part."""
+    source = parts[0].source
+    rest = [c for c in source.columns if c not in keys]
+    frame = source.select(*keys, F.struct(*[F.col(c) for c in rest]).alias("_source"), *rest)
+    done: list[str] = []
+    for k, (part, pairs) in enumerate(zip(parts, outputs)):
+        if k:
+            frame = frame.select(*keys, "_source", *done, *[F.col(f"_source.{c}").alias(c) for c in rest])
+        for step in part.steps:
+            frame = frame.select(*keys, "_source", *done, *[e.alias(n) for n, e in step.items()])
+        frame = frame.select(*keys, "_source", *done, *[F.col(c).alias(a) for c, a in pairs])
+        done += [a for _, a in pairs]
+    return frame.select(*keys, *done)
+
+
+def joined(parts: list, keys: list[str], outputs: list[list[tuple[str, str]]]) -> DataFrame:
+    """Parts side by side: those of one frame by a projection, different frames by a join on the keys."""
+    groups: dict[int, list[int]] = {}
+    for k, part in enumerate(parts):
+        groups.setdefault(id(part.source), []).append(k)
+    out = None
+    for places in groups.values():
+        frame = side_by_side([parts[k] for k in places], keys, [outputs[k] for k in places])
+        out = frame if out is None else out.join(frame, keys)
+    return out
+
+
 def zipped(*inputs: Numbers) -> tuple[DataFrame, list[tuple[str, ...]]]:
     """Inputs side by side by position, and the new column names of each.
 
-    Inputs over the same DataFrame are selected without a join.
+    Inputs that are selections of one frame need no join.
     """
     names = [tuple(f"p{k}_{j}" for j in range(n.block_length)) for k, n in enumerate(inputs)]
-    first = inputs[0]
-    if all(n.df is first.df for n in inputs):
-        cols = [F.col(c).alias(a) for n, own in zip(inputs, names) for c, a in zip(n.columns, own)]
-        return first.df.select("_i", *cols), names
-    out = None
-    for n, own in zip(inputs, names):
-        part = n.df.select("_i", *[F.col(c).alias(a) for c, a in zip(n.columns, own)])
-        out = part if out is None else out.join(part, "_i")
-    return out, names
+    pairs = [list(zip(n.columns, own)) for n, own in zip(inputs, names)]
+    return joined(list(inputs), ["_i"], pairs), names
 
 
 @dataclass(frozen=True)
@@ -160,6 +189,13 @@ class Matrix:
     dims: tuple[int, ...]
     channels: int
     kind: str = "byte"
+    root: DataFrame | None = None
+    steps: tuple[dict[str, Column], ...] = ()
+
+    @property
+    def source(self) -> DataFrame:
+        """Frame of which this matrix is a selection."""
+        return self.df if self.root is None else self.root
 
     @property
     def axes(self) -> tuple[str, ...]:
@@ -179,8 +215,9 @@ class Matrix:
     def of(self, exprs: list[Column], kind: str | None = None) -> Matrix:
         """Same pixels with new channels."""
         kind = kind or self.kind
-        cols = [to_kind(e, kind).alias(f"ch{k}") for k, e in enumerate(exprs)]
-        return Matrix(self.df.select(*self.axes, *cols), self.dims, len(exprs), kind)
+        cols = {f"ch{k}": to_kind(e, kind) for k, e in enumerate(exprs)}
+        df = self.df.select(*self.axes, *[e.alias(n) for n, e in cols.items()])
+        return Matrix(df, self.dims, len(exprs), kind, self.source, (*self.steps, cols))
 
     def map(self, f, kind: str | None = None) -> Matrix:
         """``f`` of every channel."""
@@ -197,16 +234,10 @@ def grid(spark: SparkSession, width: int, height: int, exprs, kind: str = "byte"
 
 
 def paired(*inputs: Matrix) -> tuple[DataFrame, list[list[str]]]:
-    """Matrices of equal size side by side, and the channel names of each; equal frames need no join."""
+    """Matrices of equal size side by side, and the channel names of each; selections of one frame need no join."""
     first = inputs[0]
     if any(m.dims != first.dims for m in inputs):
         raise ValueError("matrices have different sizes")
     names = [[f"m{k}_{j}" for j in range(m.channels)] for k, m in enumerate(inputs)]
-    if all(m.df is first.df for m in inputs):
-        cols = [F.col(c).alias(a) for m, own in zip(inputs, names) for c, a in zip(m.names, own)]
-        return first.df.select(*first.axes, *cols), names
-    out = None
-    for m, own in zip(inputs, names):
-        part = m.df.select(*m.axes, *[F.col(c).alias(a) for c, a in zip(m.names, own)])
-        out = part if out is None else out.join(part, list(first.axes))
-    return out, names
+    pairs = [list(zip(m.names, own)) for m, own in zip(inputs, names)]
+    return joined(list(inputs), list(first.axes), pairs), names
