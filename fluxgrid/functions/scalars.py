@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,9 +111,10 @@ def product_of_powers(x: Column, y: Column | None = None, a="1.0", b="1.0", m=1.
 def compare(x: Column, y: Column, default_x=0.0, default_y=0.0, style="JAVA_LIKE") -> dict[str, Column]:
     """Six comparisons of two numbers."""
     a, b = F.coalesce(number(x), F.lit(default_x)), F.coalesce(number(y), F.lit(default_y))
-    tests = {
-        "equal": a == b, "non_equal": a != b, "less": a < b, "less_or_equal": a <= b, "greater": a > b, "greater_or_equal": a >= b,
-    }
+    tests = {"equal": a == b, "less": a < b, "less_or_equal": a <= b, "greater": a > b, "greater_or_equal": a >= b}
+    real = ~F.isnan(a) & ~F.isnan(b)  # a comparison with NaN is false, so it is not equal to anything
+    tests = {k: v & real for k, v in tests.items()}
+    tests["non_equal"] = ~tests["equal"]
     return {k: styled(v, style) for k, v in tests.items()}
 
 
@@ -123,7 +126,9 @@ def same(x: Column, y: Column, numeric=False, unequal=False, style="JAVA_LIKE")
 
 def in_range(x: Column, low=None, high=None, invert=False, style="JAVA_LIKE") -> Column:
     """low <= x <= high."""
-    value, out = number(x), F.lit(True)
+    value = number(x)
+    out = value.isNotNull() & ~F.isnan(value) if low is not None or high is not None else F.lit(True)
+    out = F.when(value.isNotNull(), out)
     if low is not None:
         out = out & (value >= low)
     if high is not None:
@@ -143,11 +148,11 @@ def truncated(x: Column, low=None, high=None) -> tuple[Column, Column]:
 
 
 def extreme(inputs: list[Column], largest: bool, threshold: float | None = None) -> Column:
-    """Largest or smallest of the given numbers and a threshold."""
+    """Largest or smallest of the given numbers and a threshold; NaN if one of them is."""
+    from fluxgrid.model import extreme_of
+
     given = [number(c) for c in inputs] + ([F.lit(float(threshold))] if threshold is not None else [])
-    if len(given) == 1:
-        return given[0]
-    return F.greatest(*given) if largest else F.least(*given)
+    return extreme_of(given, largest)
 
 
 def range_to_constant(x: Column, low=None, high=0.0, replacement="") -> Column:
@@ -213,10 +218,29 @@ def json_value(x: Column, key: str, default: str | None = "") -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def json_with(x: Column, key: str, value: Column) -> Column:
-    """A JSON object of texts with one key set."""
-    old = F.map_filter(F.from_json(x, "map<string,string>"), lambda k, _: k != key)
-    return F.to_json(F.map_concat(old, F.create_map(F.lit(key), value.cast("string"))))
+def json_with(x: Column, key: str, value: Column, kind: str = "STRING") -> Column:
+    """A JSON object with one key set to a value of a kind; other values keep their types, a present key its place."""
+    text = F.trim(value.cast("string"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    new = {
+        "STRING": lambda: quoted(text),
+        "DOUBLE": lambda: quoted(text.cast("double")),
+        "INTEGER": lambda: text.cast("bigint").cast("string"),
+        "BOOLEAN": lambda: F.when(F.lower(text) == "true", "true").otherwise("false"),
+        "JSON_OBJECT": lambda: text,
+        "JSON_ARRAY": lambda: text,
+        "NULL": lambda: F.lit("null"),
+    }[kind]()
+    name = F.lit(json.dumps(key))
+    # every value as JSON text: an object of one key, without its frame
+    keys = F.json_object_keys(x)
+    values = F.from_json(x, "map<string,variant>")
+    raw = lambda k: F.coalesce(F.to_json(values[k]), F.lit("null"))
+    entry = lambda k: F.concat(quoted(k), F.lit(":"), F.when(k == key, new).otherwise(raw(k)))
+    old = F.array_join(F.transform(keys, entry), ",")
+    added = F.concat(name, F.lit(":"), new)
+    body = F.when(F.array_contains(keys, key), old).when(F.size(keys) == 0, added).otherwise(F.concat(old, F.lit(","), added))
+    return F.concat(F.lit("{"), body, F.lit("}"))
 
 
 def list_lines(x: Column, comments: bool = True) -> Column:

@@ -8,6 +8,7 @@ null: a port without a value.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -51,6 +52,18 @@ def to_kind(value: Column, kind: str) -> Column:
     )
 
 
+def extreme_of(values: list[Column], largest: bool) -> Column:
+    """Largest or smallest of some columns; NaN if one of them is NaN."""
+    if len(values) == 1:
+        return values[0]
+    if largest:  # NaN is the largest value of all
+        return F.greatest(*values)
+    broken = F.lit(False)
+    for v in values:
+        broken = broken | F.coalesce(F.isnan(v.cast("double")), F.lit(False))
+    return F.when(broken, F.lit(float("nan"))).otherwise(F.least(*values))
+
+
 @dataclass(frozen=True)
 class Numbers:
     """A number array: ``df`` with ``_i`` and ``columns`` of one ``kind``.
@@ -64,6 +77,8 @@ class Numbers:
     kind: str = "double"
     root: DataFrame | None = None
     steps: tuple[dict[str, Column], ...] = ()
+    #: (part, (column, name) pairs) of arrays that were put side by side before the steps
+    origin: tuple = ()
 
     @property
     def source(self) -> DataFrame:
@@ -79,7 +94,7 @@ class Numbers:
         """``_i`` and new columns by name."""
         kind = kind or self.kind
         df = self.df.select("_i", *[e.alias(n) for n, e in exprs.items()])
-        return Numbers(df, tuple(exprs), kind, self.source, (*self.steps, dict(exprs)))
+        return Numbers(df, tuple(exprs), kind, self.source, (*self.steps, dict(exprs)), self.origin)
 
     def map(self, f, kind: str | None = None) -> Numbers:
         """``f`` of every column, cast to ``kind``."""
@@ -143,17 +158,37 @@ def literal_array(spark: SparkSession, rows: list[list[float]], kind: str = "dou
     return Numbers(spark.range(1).select(F.inline(values)), names, "double").cast(kind)
 
 
+_numbers = itertools.count()
+
+
+def rebuilt(frame: DataFrame, keys: list[str], carried: list[str], part) -> DataFrame:
+    """The columns of a part beside carried ones, of which ``_source`` holds the row of the common frame."""
+    if part.origin:
+        done: list[str] = []
+        names: list[str] = []
+        for inner, pairs in part.origin:
+            frame = rebuilt(frame, keys, [*carried, *done], inner)
+            fresh = [f"_z{next(_numbers)}" for _ in pairs]
+            frame = frame.select(*keys, *carried, *done, *[F.col(c).alias(z) for (c, _), z in zip(pairs, fresh)])
+            done += fresh
+            names += [name for _, name in pairs]
+        frame = frame.select(*keys, *carried, *[F.col(z).alias(name) for z, name in zip(done, names)])
+    else:
+        rest = [c for c in part.source.columns if c not in keys]
+        frame = frame.select(*keys, *carried, *[F.col("_source").getField(c).alias(c) for c in rest])
+    for step in part.steps:
+        frame = frame.select(*keys, *carried, *[e.alias(n) for n, e in step.items()])
+    return frame
+
+
 def side_by_side(parts: list, keys: list[str], outputs: list[list[tuple[str, str]]]) -> DataFrame:
     """Selections of one frame as one projection: ``outputs`` has (column, new name) pairs for each part."""
     source = parts[0].source
-    rest = [c for c in source.columns if c not in keys]
-    frame = source.select(*keys, F.struct(*[F.col(c) for c in rest]).alias("_source"), *rest)
+    rest = [F.col(c) for c in source.columns if c not in keys]
+    frame = source.select(*keys, F.struct(*rest).alias("_source"))
     done: list[str] = []
-    for k, (part, pairs) in enumerate(zip(parts, outputs)):
-        if k:
-            frame = frame.select(*keys, "_source", *done, *[F.col(f"_source.{c}").alias(c) for c in rest])
-        for step in part.steps:
-            frame = frame.select(*keys, "_source", *done, *[e.alias(n) for n, e in step.items()])
+    for part, pairs in zip(parts, outputs):
+        frame = rebuilt(frame, keys, ["_source", *done], part)
         frame = frame.select(*keys, "_source", *done, *[F.col(c).alias(a) for c, a in pairs])
         done += [a for _, a in pairs]
     return frame.select(*keys, *done)
@@ -171,14 +206,23 @@ def joined(parts: list, keys: list[str], outputs: list[list[tuple[str, str]]]) -
     return out
 
 
-def zipped(*inputs: Numbers) -> tuple[DataFrame, list[tuple[str, ...]]]:
-    """Inputs side by side by position, and the new column names of each.
+def beside(*inputs: Numbers) -> tuple[Numbers, list[tuple[str, ...]]]:
+    """One array of the columns of all inputs by position, and the new column names of each.
 
-    Inputs that are selections of one frame need no join.
+    Inputs that are selections of one frame need no join, and the result is a selection of it too.
     """
     names = [tuple(f"p{k}_{j}" for j in range(n.block_length)) for k, n in enumerate(inputs)]
     pairs = [list(zip(n.columns, own)) for n, own in zip(inputs, names)]
-    return joined(list(inputs), ["_i"], pairs), names
+    df, flat = joined(list(inputs), ["_i"], pairs), tuple(c for own in names for c in own)
+    if all(n.source is inputs[0].source for n in inputs):
+        return Numbers(df, flat, inputs[0].kind, inputs[0].source, (), tuple(zip(inputs, pairs))), names
+    return Numbers(df, flat, inputs[0].kind), names
+
+
+def zipped(*inputs: Numbers) -> tuple[DataFrame, list[tuple[str, ...]]]:
+    """The frame of ``beside``, and the new column names of each input."""
+    both, names = beside(*inputs)
+    return both.df, names
 
 
 @dataclass(frozen=True)
@@ -191,6 +235,7 @@ class Matrix:
     kind: str = "byte"
     root: DataFrame | None = None
     steps: tuple[dict[str, Column], ...] = ()
+    origin: tuple = ()
 
     @property
     def source(self) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fluxgrid.model import Numbers, to_kind, zipped
+from fluxgrid.model import Numbers, beside, extreme_of, to_kind, zipped
 
 
 def wide(*inputs: Numbers) -> str:
@@ -62,9 +62,8 @@ def pairwise(x: Numbers, y: Numbers | None, f, kind: str) -> Numbers:
         return x.with_columns({c: to_kind(f(F.col(c), None), kind) for c in x.columns}, kind)
     if x.block_length != y.block_length:
         raise ValueError("different block lengths")
-    df, (a, b) = zipped(x, y)
-    cols = {c: to_kind(f(F.col(p), F.col(q)), kind) for c, p, q in zip(x.columns, a, b)}
-    return Numbers(df.select("_i", *[e.alias(c) for c, e in cols.items()]), x.columns, kind)
+    both, (a, b) = beside(x, y)
+    return both.with_columns({c: to_kind(f(F.col(p), F.col(q)), kind) for c, p, q in zip(x.columns, a, b)}, kind)
 
 
 def linear(
@@ -107,16 +106,16 @@ def equality(x: Numbers, y: Numbers, true=1.0, false=0.0, invert=False, kind: st
 
 
 def extreme(inputs: list[Numbers | None], largest: bool) -> Numbers:
-    """Elementwise maximum or minimum of the given inputs."""
+    """Elementwise maximum or minimum of the given inputs; NaN where one of them is."""
     given = [n for n in inputs if n is not None]
     if not given:
         raise ValueError("no input")
     if len(given) == 1:
         return given[0]
-    df, names = zipped(*given)
-    pick = F.greatest if largest else F.least
-    cols = [to_kind(pick(*[F.col(own[k]) for own in names]), given[0].kind) for k in range(given[0].block_length)]
-    return Numbers(df.select("_i", *[e.alias(c) for c, e in zip(given[0].columns, cols)]), given[0].columns, given[0].kind)
+    both, names = beside(*given)
+    kind = given[0].kind
+    cols = [to_kind(extreme_of([F.col(own[k]) for own in names], largest), kind) for k in range(given[0].block_length)]
+    return both.with_columns(dict(zip(given[0].columns, cols)), kind)
 
 
 def base_value(base: str, custom: float) -> float:

@@ -57,7 +57,9 @@ def create_json(value: str = "{}", given: str | None = None) -> str:
 def print_scalar(value: str | None, pattern: str = "$$$", level: str = "PRINTLN_TO_CONSOLE", file: str = "", act: bool = True) -> str | None:
     """The value put in a pattern, logged or written; the value goes on."""
     if act:
-        text = pattern.replace("$$$", str(value))[:MAX_PRINTED]
+        text = pattern.replace("$$$", str(value))
+        if len(text) > MAX_PRINTED:
+            text = text[:MAX_PRINTED] + "..."
         if file:
             write_scalar(text, file)
         elif level.startswith("PRINT"):

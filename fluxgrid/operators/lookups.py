@@ -91,15 +91,22 @@ def distance(deltas: list[Column], metric: str, weights: list[float]) -> Column:
     }[metric]()
 
 
+#: Numbers of all centres that are broadcast: 16 MB of doubles.
+MAX_CENTRES = 2_000_000
+
+
 def nearest_centres(
     values: Numbers, centres: Numbers, metric: str = "NORMALIZED_EUCLIDEAN", weights: list[float] | None = None,
     max_distance: float | None = None, base: int = 1,
 ) -> Numbers:
     """index and distance of the nearest centre of every row; of equal ones the last wins; none gives -1, Infinity.
 
-    The centres, a model of given size, are one broadcast row that holds them as an array; each row of values
-    folds over it, so rows neither shuffle nor multiply.
+    The centres, a model, are one broadcast row that holds them as an array; each row of values folds over it, so
+    rows neither shuffle nor multiply.  That they are at most MAX_CENTRES numbers is checked.
     """
+    size = centres.df.limit(MAX_CENTRES // centres.block_length + 1).count() * centres.block_length
+    if size > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} numbers of centres")
     weights = weights or [1.0] * values.block_length
     k = centres.block_length
     arrays = centres.df.select("_i", F.array(*[F.col(c).cast("double") for c in centres.columns]).alias("v"))

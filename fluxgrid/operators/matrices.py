@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxgrid.model import MAX_POSSIBLE, Matrix, Numbers, paired, to_kind
+from fluxgrid.model import MAX_POSSIBLE, Matrix, Numbers, extreme_of, paired, to_kind
 from fluxgrid.operators.arithmetic import ANGLES, power_text
 
 LUMA = (0.299, 0.587, 0.114)
@@ -116,8 +116,8 @@ def difference(x: Matrix, y: Matrix, operation: str = "ABSOLUTE_DIFFERENCE", mul
 
 
 def extreme(inputs: list[Matrix], largest: bool) -> Matrix:
-    """Pixelwise maximum or minimum."""
-    return inputs[0] if len(inputs) == 1 else combined(inputs, lambda v: (F.greatest if largest else F.least)(*v))
+    """Pixelwise maximum or minimum; NaN where one of the inputs is."""
+    return inputs[0] if len(inputs) == 1 else combined(inputs, lambda v: extreme_of(v, largest))
 
 
 def product_of_powers(x: Matrix, y: Matrix, a="1.0", b="1.0", m: float = 1.0) -> Matrix:
@@ -234,11 +234,11 @@ def selected(selector: Matrix, inputs: list[Matrix]) -> Matrix:
 
 
 def equality(x: Matrix, y: Matrix, mode: str = "E0_NY") -> Matrix:
-    """By pixel: the first two characters name the value where all channels are equal, the last two where not."""
+    """By pixel: the first two characters name the value where all channels are equal, the last two where not; NaN equals nothing."""
     df, (a, b) = paired(x, y)
     same = F.lit(True)
     for p, q in zip(a, b):
-        same = same & (F.col(p).cast("double") == F.col(q).cast("double"))
+        same = same & (F.col(p).cast("double") == F.col(q).cast("double")) & ~F.isnan(F.col(p).cast("double"))
     value = {"0": lambda k: F.lit(0.0), "1": lambda k: F.lit(float(x.top)), "X": lambda k: F.col(a[k]), "Y": lambda k: F.col(b[k])}
     equal, other = mode[1], mode[-1]
     cols = [F.when(same, value[equal](k).cast("double")).otherwise(value[other](k).cast("double")) for k in range(x.channels)]

@@ -9,7 +9,7 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fluxgrid.model import Numbers, to_kind, zipped
+from fluxgrid.model import Numbers, beside, to_kind
 
 BINARY = {
     ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Pow: lambda a, b: F.pow(a, b),
@@ -74,20 +74,20 @@ def compiled(text: str, names: dict[str, Column | list[Column]]) -> Column:
 
 def elementwise(formula: str, inputs: dict[str, Numbers], kind: str = "float", **parameters: float) -> Numbers:
     """One formula over equally named elements of several arrays."""
-    df, names = zipped(*inputs.values())
+    both, names = beside(*inputs.values())
     first = next(iter(inputs.values()))
     constants = {k: F.lit(float(v)) for k, v in parameters.items()}
     cols = []
     for j, c in enumerate(first.columns):
         bound = {n: F.col(own[j]).cast("double") for n, own in zip(inputs, names)}
-        cols.append(to_kind(compiled(formula, {**constants, **bound}), kind).alias(c))
-    return Numbers(df.select("_i", *cols), first.columns, kind)
+        cols.append(to_kind(compiled(formula, {**constants, **bound}), kind))
+    return both.with_columns(dict(zip(first.columns, cols)), kind)
 
 
 def by_row(formula: str, inputs: dict[str, Numbers], kind: str = "float", **parameters: float) -> Numbers:
     """One formula over the rows of several arrays: a[0], b[1] and the row's number i."""
-    df, names = zipped(*inputs.values())
+    both, names = beside(*inputs.values())
     bound: dict = {k: F.lit(float(v)) for k, v in parameters.items()}
     bound |= {n: [F.col(c).cast("double") for c in own] for n, own in zip(inputs, names)}
     bound["i"] = F.col("_i").cast("double")
-    return Numbers(df.select("_i", to_kind(compiled(formula, bound), kind).alias("c0")), ("c0",), kind)
+    return both.with_columns({"c0": to_kind(compiled(formula, bound), kind)}, kind)

@@ -72,7 +72,7 @@ NUMBERS = {
     "SortNumbers": "operators.lookups:sort",
     "TableTranslateNumbers": "operators.lookups:translate",
     "NumbersColumnsStatistics": "operators.statistics:column_statistics",
-    "NumbersStatistics": "operators.statistics:percentiles",
+    "NumbersStatistics": "operators.statistics:all_statistics",
 }
 
 FLOW = {
@@ -176,8 +176,8 @@ MATRICES = {
     "PrintSubMatrix": "operators.constants:print_sub_matrix",
     "ReadNextImage": "sources.folders:next_image",
     "SupportedImageFormats": "sources.folders:image_formats",
-    "ReadAlgARTImage": "sources.folders:read_matrix",
-    "WriteAlgARTImage": "sources.folders:write_matrix",
+    "ReadMatrixFolder": "sources.folders:read_matrix",
+    "WriteMatrixFolder": "sources.folders:write_matrix",
 }
 
 SYSTEM = {

@@ -66,13 +66,16 @@ def read_csv(spark: SparkSession, path: str, kind: str = "auto", skipped: int =
     if kind == "auto":
         kind = next((k for k in NUMPY if header and cells[0].startswith(k)), "float")
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
-    )
-    # monotonic ids ascend within a split; splits are ordered by file and start
-    place = F.row_number().over(Window.orderBy("_file", "_block", "_line")) - 1 - skipped - int(header)
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+    # ids ascend within a split without gaps; a row for each split tells how many lines are before it
+    lines = lines.where(F.trim("value") != "").select("value", "_file", "_block", F.monotonically_increasing_id().alias("_line"))
+    splits = lines.groupBy("_file", "_block").agg(F.min("_line").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("_file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_move"))
+    place = F.col("_line") + F.col("_move") - skipped - int(header)
     parts = F.filter(F.split(F.trim("value"), r"[,;\s]+"), lambda c: c != "")
-    numbered = lines.where(F.trim("value") != "").select(place.cast("bigint").alias("_i"), parts.alias("p"))
+    numbered = lines.join(F.broadcast(starts), ["_file", "_block"]).select(place.cast("bigint").alias("_i"), parts.alias("p"))
     cols = [to_kind(F.coalesce(F.get("p", F.lit(k)).try_cast("double"), F.lit(0.0)), kind).alias(f"c{k}") for k in range(width)]
     return Numbers(numbered.where("_i >= 0").select("_i", *cols), tuple(f"c{k}" for k in range(width)), kind), (cells if header else [])
 
@@ -85,8 +88,8 @@ def write_csv(x: Numbers, path: str, names: list[str] | None = None, delimiter:
     rows.select(*cols).write.mode("overwrite").option("header", True).option("sep", delimiter).csv(path)
 
 
-def read_raw(spark: SparkSession, path: str, width: int = 1, kind: str = "float", order: str = "little", glob: str | None = None) -> Numbers:
-    """Raw numbers of one or many files in the order of their paths; each file holds whole rows."""
+def read_raw(spark: SparkSession, path: str, width: int = 1, kind: str = "float", order: str = "big", glob: str | None = None) -> Numbers:
+    """Raw numbers of one or many files in the order of their paths; each file holds whole rows and is read by one task."""
     source = spark.read.format("binaryFile")
     if glob:
         source = source.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
@@ -112,29 +115,54 @@ def read_raw(spark: SparkSession, path: str, width: int = 1, kind: str = "float"
     return Numbers(df, tuple(names), "double").cast(kind)
 
 
-def raw_metadata(x: Numbers, n: int, names: list[str], order: str = "LITTLE_ENDIAN", base: int = 0) -> str:
-    """JSON that describes a raw file."""
-    return json.dumps(
-        {
-            "blockLength": x.block_length, "n": n, "elementType": x.kind, "byteOrder": order, "order": "ROWS",
-            "columnNames": names, "columnIndexes": {c: k + base for k, c in enumerate(names)},
-        }
-    )
+def raw_metadata(x: Numbers, n: int, names: list[str] | None = None, order: str = "BIG_ENDIAN", base: int = 0) -> str:
+    """JSON that describes raw rows; column names and their indexes only where names are given."""
+    found = {"blockLength": x.block_length, "n": n, "elementType": x.kind, "byteOrder": order, "order": order}
+    if names is not None:
+        found |= {"columnNames": names, "columnIndexes": {c: k + base for k, c in enumerate(names)}}
+    return json.dumps(found, indent=4)
+
+
+def write_raw(
+    x: Numbers, folder: str, order: str = "big", metadata: bool = False, names: list[str] | None = None, base: int = 0
+) -> int:
+    """Raw rows in order as files ``rows-<first position>.raw`` of a shared folder; the number of rows.
 
+    Each task writes its range to a file of its own beside and renames it, so a task that runs again leaves the
+    same files; their names sort in the order of rows, which is how read_raw reads them.
+    """
+    from pyarrow import fs
 
-def write_raw(x: Numbers, folder: str, order: str = "little") -> None:
-    """Raw rows in order, one file for each partition, through Spark's text-free binary column."""
     mark = "<" if order == "little" else ">"
     kind, columns = x.kind, list(x.columns)
+    where, root = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+    where.create_dir(root)
+    where.delete_dir_contents(root)
 
     def run(batches):
+        target, at = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+        out, first, rows, draft = None, None, 0, ""
         for b in batches:
+            if not b.num_rows:
+                continue
+            if out is None:
+                first = b.column("_i")[0].as_py()
+                draft = f"{at}/.{first:020d}-{os.getpid()}"
+                out = target.open_output_stream(draft)
             values = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
-            data = values.astype(mark + NUMPY[kind]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([b.column("_i")[0].as_py()] if len(values) else []), pa.array([data] if len(values) else [], pa.binary())], ["_i", "content"])
-
-    rows = x.df.repartitionByRange("_i").sortWithinPartitions("_i")
-    rows.mapInArrow(run, "_i long, content binary").write.mode("overwrite").parquet(folder)
+            out.write(values.astype(mark + NUMPY[kind]).tobytes())
+            rows += b.num_rows
+        if out is not None:
+            out.close()
+            target.move(draft, f"{at}/rows-{first:020d}.raw")
+            yield pa.RecordBatch.from_arrays([pa.array([rows])], ["rows"])
+
+    ranged = x.df.select("_i", *columns).repartitionByRange("_i").sortWithinPartitions("_i")
+    n = ranged.mapInArrow(run, "rows long").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    if metadata:
+        with where.open_output_stream(f"{root}.meta") as f:
+            f.write(raw_metadata(x, n, names, "LITTLE_ENDIAN" if order == "little" else "BIG_ENDIAN", base).encode())
+    return n
 
 
 def read_scalar(spark: SparkSession, path: str, default: str | None = None) -> str | None:

@@ -1,14 +1,18 @@
 """Registry, tables, drawing, vectors, folders and images."""
 
+import json
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fluxgrid import registry
-from fluxgrid.model import grid, literal_array
-from fluxgrid.operators import drawing, tables, vectors
+from fluxgrid.functions import scalars as S
+from fluxgrid.model import Numbers, grid, literal_array, numbered
+from fluxgrid.operators import arithmetic, drawing, matrices, statistics, tables, vectors
 from fluxgrid.operators import matrices as M
-from fluxgrid.sources import folders
+from fluxgrid.sources import files, folders
 
 
 def rows(x):
@@ -141,3 +145,89 @@ def test_resizing_by_axis(spark):
     assert whole.tolist() == [0, 1, 4, 5]
     with pytest.raises(ValueError):
         M.resized(m, 3, 3, "BICUBIC")
+
+
+def test_raw_files_round_trip(spark, tmp_path):
+    rows = [[1.5, -2.0], [3.25, 4.0], [float("inf"), 0.0]] * 700
+    x = literal_array(spark, rows[:300], "double").cast("float")
+    for order, mark in (("big", ">"), ("little", "<")):
+        folder = str(tmp_path / order)
+        assert files.write_raw(x, folder, order, metadata=True, names=["a", "b"], base=1) == 300
+        data = b"".join(p.read_bytes() for p in sorted((tmp_path / order).glob("rows-*.raw")))
+        assert data == np.array(rows[:300], mark + "f4").tobytes()
+        found = files.read_raw(spark, folder, 2, "float", order, glob="*.raw").df.orderBy("_i").collect()
+        assert [(r._i, r.c0, r.c1) for r in found] == [(k, *r) for k, r in enumerate(rows[:300])]
+        meta = json.loads((tmp_path / f"{order}.meta").read_text())
+        assert meta["blockLength"] == 2 and meta["n"] == 300 and meta["elementType"] == "float" and meta["columnIndexes"] == {"a": 1, "b": 2}
+
+
+def test_json_values_keep_their_types(spark):
+    old = '{"a":1,"b":[1,2],"c":true,"d":{"e":null},"f":"x\\"y","g":1.5,"h":null}'
+    cases = {
+        ("k", "2", "STRING"): {"k": "2"}, ("k", "2", "INTEGER"): {"k": 2}, ("a", " 2.5 ", "DOUBLE"): {"a": 2.5}, ("a", "TRUE", "BOOLEAN"): {"a": True},
+        ("b", '{"z":[1]}', "JSON_OBJECT"): {"b": {"z": [1]}}, ("k", "[1,2]", "JSON_ARRAY"): {"k": [1, 2]}, ("c", "", "NULL"): {"c": None}, ('q"r', 'a"b', "STRING"): {'q"r': 'a"b'},
+    }
+    for (key, value, kind), change in cases.items():
+        for text in (old, "{}"):
+            frame = spark.createDataFrame([(text,)], "j string")
+            new = frame.select(S.json_with(F.col("j"), key, F.lit(value), kind).alias("j")).first().j
+            want = {**json.loads(text), **change}
+            assert json.loads(new) == want and list(json.loads(new)) == list(want), (key, kind, new)
+
+
+def test_nan_equals_nothing(spark):
+    nan = float("nan")
+    x, y = literal_array(spark, [[nan], [1.0], [nan]]), literal_array(spark, [[nan], [nan], [2.0]])
+    assert [math.isnan(r.c0) for r in arithmetic.extreme([x, y], False).df.orderBy("_i").collect()] == [True] * 3
+    assert [math.isnan(r.c0) for r in arithmetic.extreme([x, y], True).df.orderBy("_i").collect()] == [True] * 3
+    assert [r.c0 for r in arithmetic.replace_nan(x, 7.0).df.orderBy("_i").collect()] == [7.0, 1.0, 7.0]
+    assert [r.c0 for r in arithmetic.equality(x, y).df.orderBy("_i").collect()] == [0.0] * 3
+    row = spark.range(1).select(*[c.alias(k) for k, c in S.compare(F.lit("NaN"), F.lit("NaN")).items()], S.in_range(F.lit("NaN"), 0, None).alias("r")).first()
+    assert row.equal == row.less == row.greater_or_equal == row.r == "false" and row.non_equal == "true"
+    m = grid(spark, 2, 1, [F.when(F.col("x") == 0, float("nan")).otherwise(1.0)], "float")
+    assert [r.ch0 for r in matrices.equality(m, m, "E1_N0").df.orderBy("x").collect()] == [0.0, 1.0]
+
+
+def test_percentiles_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "FEW", 500)
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=20_000), np.full(5000, 0.25), rng.pareto(0.3, 3000), [float("nan")] * 3])
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double").select(F.lit(0).cast("long").alias("_i"), "v")
+    levels = [0.0, 0.001, 0.25, 0.5, 0.6, 0.99, 0.9999, 1.0]
+    found = {r.level: r.value for r in statistics.percentiles(Numbers(frame, ("v",)), levels).collect()}
+    order = np.sort(values)
+    for p in levels:
+        assert found[p] == order[int(math.floor(p * (len(order) - 1) + 0.5))] or math.isnan(found[p]) and p == 1.0
+
+
+def test_statistics_of_a_part_of_each_block(spark):
+    x = literal_array(spark, [[1.0, 2.0, 90.0], [3.0, 4.0, 90.0], [5.0, 6.0, 90.0]])
+    r = statistics.all_statistics(x, [0.5, 0.0, 1.0, 0.5], 5, 1.0, 6.0, 0, 2).first()
+    assert (r.sum, r.mean, r.number_of_blocks, r.block_length, r.array_length) == (21.0, 3.5, 3, 2, 6)
+    assert abs(r.variance - 35 / 12) < 1e-12 and r.percentiles == [4.0, 1.0, 6.0, 4.0] and r.histogram == [1, 1, 1, 1, 1]
+    assert r.hash == statistics.all_statistics(x, length_in_block=2).first().hash != statistics.all_statistics(x).first().hash
+    with pytest.raises(ValueError):
+        statistics.all_statistics(x, [1.5])
+
+
+def test_positions_over_ties_and_text(spark):
+    rows = [(k % 3, f"t{k % 7}", k) for k in range(5000)]
+    found = numbered(spark.createDataFrame(rows, "a int, b string, k int").repartition(5), ["a", "b", "k"]).orderBy("_i").collect()
+    assert [r._i for r in found] == list(range(5000)) and [(r.a, r.b, r.k) for r in found] == sorted(rows)
+
+
+def test_csv_over_files_and_blank_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n\n3;4\n")
+    (tmp_path / "b.csv").write_text("5 6\n 7, 8 \n9\n")
+    x, names = files.read_csv(spark, str(tmp_path), "double")
+    assert names == ["x", "y"] and [(r._i, r.c0, r.c1) for r in x.df.orderBy("_i").collect()] == [(0, 1, 2), (1, 3, 4), (2, 5, 6), (3, 7, 8), (4, 9, 0)]
+
+
+def test_zips_of_one_frame_need_no_join(spark):
+    x = literal_array(spark, [[1.0, 2.0], [3.0, 4.0]])
+    a, b = arithmetic.linear(x.slice(0, 1), a=2.0), arithmetic.negated(x.slice(1, 1)).cast("double")
+    out = arithmetic.linear(arithmetic.linear(a, b), x.slice(0, 1))
+    plan = out.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and [r[1] for r in out.df.orderBy("_i").collect()] == [1.0, 5.0]
+    y = literal_array(spark, [[10.0], [20.0]])
+    assert [r[1] for r in arithmetic.linear(a, y).df.orderBy("_i").collect()] == [12.0, 26.0]
