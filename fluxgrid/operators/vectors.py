@@ -79,6 +79,49 @@ def from_hsv(m: Matrix, kind: str = "byte") -> Matrix:
     return m.of([part(5.0), part(3.0), part(1.0)], kind)
 
 
+def split_hls(m: Matrix) -> Matrix:
+    """Channels hue, lightness and saturation as float."""
+    from fluxgrid.operators.matrices import hsv
+
+    r, g, b = [F.col(c).cast("double") / float(m.top) for c in m.names[:3]]
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    lightness = (top + low) / 2
+    width = F.when(lightness <= 0.5, top + low).otherwise(2 - top - low)
+    saturation = F.when(top == low, F.lit(0.0)).otherwise(F.try_divide(top - low, width))
+    return m.of([hsv(m)[0], lightness, saturation], "float")
+
+
+def from_hls(m: Matrix, kind: str = "byte") -> Matrix:
+    """Red, green and blue of hue, lightness and saturation in 0..1."""
+    from fluxgrid.model import MAX_POSSIBLE
+
+    h, light, s = [F.col(c).cast("double") for c in m.names[:3]]
+    top = float(MAX_POSSIBLE[kind])
+    span = s * F.least(light, 1 - light)
+
+    def part(n: float) -> Column:
+        k = F.pmod(F.lit(n) + h * 12, F.lit(12.0))
+        value = light - span * F.greatest(F.least(k - 3, 9 - k, F.lit(1.0)), F.lit(-1.0))
+        return F.floor(value * top + 0.5) if top > 1 else value
+
+    return m.of([part(0.0), part(8.0), part(4.0)], kind)
+
+
+def split_colours(m: Matrix, space: str = "RGB") -> list[Matrix]:
+    """One matrix for each channel of a colour space."""
+    from fluxgrid.operators.matrices import split_channels, split_hsv
+
+    return split_channels({"RGB": lambda x: x, "HSV": split_hsv, "HLS": split_hls}[space](m))
+
+
+def merge_colours(inputs: list[Matrix], space: str = "RGB", kind: str = "byte") -> Matrix:
+    """A colour matrix of the channels of a colour space."""
+    from fluxgrid.operators.matrices import merge_channels
+
+    m = merge_channels(inputs)
+    return m if space == "RGB" else {"HSV": from_hsv, "HLS": from_hls}[space](m, kind)
+
+
 def contrast(m: Matrix, low: float = 0.0, high: float = 1.0) -> Matrix:
     """The range between two percentiles of the intensity stretched to the whole range."""
     from fluxgrid.operators.matrices import intensity, pixels

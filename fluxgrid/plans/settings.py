@@ -93,3 +93,12 @@ def mapping_keys(text: str) -> list[tuple[str, str]]:
         keys = [str(k) for k in range(int(span[1]), int(span[2]) + 1)] if span else [body]
         out += [(k, caption.replace("$$$", k) or k) for k in keys]
     return out
+
+
+def mapping_record(text: str, values: dict, default: str | None = None, items: str = "") -> dict:
+    """key -> value for every key of a mapping; values beyond the given items (lines) are refused."""
+    allowed = {k for k, _ in mapping_keys(items)}
+    out = {k: str(values.get(k, default)) if values.get(k, default) is not None else None for k, _ in mapping_keys(text)}
+    if allowed and (wrong := sorted({v for v in out.values() if v is not None} - allowed)):
+        raise ValueError(f"not among the items: {', '.join(wrong)}")
+    return out

@@ -148,11 +148,11 @@ MATRICES = {
     "InterpolateLayersWithIncreasingNumberOfDimensions": "operators.matrices:interpolated",
     "MergeBinaryMasks": "operators.matrices:merge_masks",
     "MergeChannelsGroups": "operators.matrices:merge_channels",
-    "MergeColorChannels": "operators.vectors:from_hsv",
+    "MergeColorChannels": "operators.vectors:merge_colours",
     "MergeLastTwoDimensions": "operators.matrices:flattened",
     "NonZero": "operators.matrices:non_zero",
     "SplitChannels": "operators.matrices:split_channels",
-    "SplitColorChannels": "operators.matrices:split_hsv",
+    "SplitColorChannels": "operators.vectors:split_colours",
     "CopyMatrix": "registry:identity",
     "FillMatrix": "operators.matrices:filled",
     "CreateBilinearFunction": "operators.matrices:bilinear",
@@ -198,7 +198,7 @@ SYSTEM = {
     "ElementwiseFormula": "plans.formulas:elementwise",
     "BlockFormulaForSeveralNumbers": "plans.formulas:by_row",
     "UseMapping": "plans.settings:mapping_keys",
-    "MappingExecutor": "plans.settings:mapping_keys",
+    "MappingExecutor": "plans.settings:mapping_record",
     "UseSettings": "plans.settings:Settings.read",
     "CombineSettings": "plans.settings:Settings.combine",
     "SplitSettings": "plans.settings:Settings.split",

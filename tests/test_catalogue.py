@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from fluxgrid.plans import catalogue
+from fluxgrid.plans import rows as catalogue
 
 DATA = "/root/testdata/sf0.001"
 
