@@ -2,14 +2,17 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from fluxgrid.llm import mixing, simhash, substring_dedup
 from fluxgrid.llm import queries as Q
+from tests.llm.test_text import plain_masked
 
 WORD = rb"[^\x20\x09-\x0D]+"
 DATA = "/root/testdata/sf0.001"
@@ -216,6 +219,8 @@ def test_mix_reaches_its_targets(spark):
 def test_one_of_each_keeps_every_different_text(spark):
     """Repeated and null ids: one row of each component, the same one in any order of rows."""
     texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
+    three = spark.createDataFrame([(3, texts[0]), (5, texts[0]), (5, texts[1])], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.one_of_each(three).collect())) == [(3, texts[0]), (5, texts[1])]
     rows = [(1, texts[0], "x"), (1, texts[1], "x"), (1, texts[1], "y"), (2, texts[1], "x"), (None, texts[2], "x"), (None, texts[2], "x"),
             (None, texts[3], "x"), (None, texts[0], "x"), (3, texts[4], "x"), (3, texts[5], "x"), (2, texts[5], "x"), (4, None, "x"), (4, "", "x")]
     kept = []
@@ -238,11 +243,35 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     names = docs.columns
     out = docs
-    kept = []
+    kept, texts, drawn = [], {}, {}
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = out
         out = corpus_pipeline.stored(stage(spark, out, DATA), f"test-{k}")
         kept.append({r.doc_id for r in out.select("doc_id").collect()})
         assert out.columns == names or k == 4
+        if k == 2:  # every text has its pseudonyms, and n_chars follows
+            old = {r.doc_id: r.text for r in before.collect()}
+            for r in out.collect():
+                assert r.text == plain_masked(old[r.doc_id] or "", Q.TRIAL_KEY)[0] and r.n_chars == len(r.text)
+            texts = {r.doc_id: r.text for r in out.collect()}
+        if k == 3:  # as often as the weights of the sources ask for, with all columns
+            drawn = Counter(r.doc_id for r in out.collect())
+            want = {r.doc_id: r.n_copies for r in mixing.drawn(before, Q.MIX).select("doc.doc_id", "n_copies").collect()}
+            assert drawn == Counter({d: n for d, n in want.items() if n})
+            by_source = Counter()
+            for r in out.collect():
+                by_source[r.source] += len(re.findall(WORD, r.text.encode()))
+            shares = np.array(list(by_source.values())) / sum(by_source.values())
+            assert -(shares * np.log(shares)).sum() >= 0.97 * np.log(len(shares))
+        if k == 4:  # ids of the drawn texts as the library has them
+            library = Tokenizer.from_file(Q.tokenizer_path())
+            rows = out.collect()
+            assert Counter(r.doc_id for r in rows) == drawn
+            for r in rows:
+                ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+                assert r.ids == ids and r.n_tokens == len(ids)
+                assert r.ids_sha256 == hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
+                assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     good = {d for d, q in labels.items() if q == 1}
     assert len(good - kept[0]) <= 0.02 * len(good)

@@ -537,6 +537,58 @@ def test_classifier_expressions_equal_rows(odd):
         assert abs(s - model.score_rows(np.array([stats[d]]))[0]) < 1e-9 and 0 <= s <= 1
 
 
+def plain_statistics(text):
+    """The classifier's statistics by counting."""
+    text = text or ""
+    words = re.findall(WORD, text)
+    lines = [x for x in text.split("\n") if re.search(WORD, x)]
+    dense, n = "".join(words), max(len(words), 1)
+    chars = max(len(dense), 1)
+    triples = {tuple(words[i : i + 3]) for i in range(len(words))}
+    return {
+        "n_words": len(words), "mean_word_chars": len(dense) / n, "symbol_ratio": sum(c in "#*$%&|<>" for c in dense) / n,
+        "stop_ratio": sum(w.lower() in set(quality_rules.STOP_WORDS) for w in words) / n, "dup_line_ratio": 1 - len(set(lines)) / max(len(lines), 1),
+        "distinct_word_ratio": len(set(words)) / n, "distinct_triple_ratio": len(triples) / n, "upper_ratio": sum("A" <= c <= "Z" for c in dense) / chars,
+        "mark_ratio": sum(c in "!?" for c in dense) / chars, "digit_ratio": sum(c in "0123456789" for c in dense) / chars, "words_per_line": len(words) / max(len(lines), 1),
+    }
+
+
+def test_classifier_statistics_by_counting(odd, odd_rows):
+    found = {}
+    for r in rule_classifier.statistics(odd).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    for d, t in odd_rows:
+        want = plain_statistics(t)
+        assert any(all(abs(r[s] - want[s]) < (0.26 if s == "dup_line_ratio" and not want["n_words"] else 1e-9) or not want["n_words"] for s in rule_classifier.STATS) for r in found[d]), d
+
+
+def test_lasso_meets_its_optimality_conditions():
+    """Subgradients of the penalised mean loss, computed apart from the solver."""
+    rng = np.random.default_rng(8)
+    z = (rng.random((500, 20)) < 0.4).astype(float)
+    y = (rng.random(500) < 1 / (1 + np.exp(-(2.5 * z[:, 0] - 2 * z[:, 3] + 0.3)))).astype(float)
+    strength = 0.02
+    bias, w = rule_classifier.lasso(z, y, strength, 4000)
+    slope = 1 / (1 + np.exp(-(z @ w + bias))) - y
+    gradient = z.T @ slope / len(y)
+    assert abs(slope.mean()) < 1e-4 and 2 <= np.count_nonzero(w) < 20
+    for g, v in zip(gradient, w):
+        assert abs(g + strength * np.sign(v)) < 1e-4 if v else abs(g) <= strength + 1e-4
+
+
+def test_tree_paths_by_hand():
+    """One statistic that splits the labels gives the path of its cut and the other side."""
+    x = np.zeros((200, len(rule_classifier.STATS)))
+    x[:, 4] = np.arange(200) / 200
+    y = (x[:, 4] > 0.5).astype(float)
+    rules = rule_classifier.tree_rules(x, y, 40, 1, np.random.default_rng(0))
+    cuts = {(upper, round(bound, 1)) for terms in rules for name, upper, bound in terms if name == rule_classifier.STATS[4]}
+    assert rules and all(len(t) == 1 and t[0][0] == rule_classifier.STATS[4] for t in rules) and {(True, 0.5), (False, 0.5)} <= cuts
+    model = rule_classifier.fit_rows(x, y)
+    by_hand = [1 / (1 + np.exp(-(model.bias + sum(r.weight for r in model.rules if all((row[rule_classifier.STATS.index(n)] <= b) == u for n, u, b in r.terms))))) for row in x]
+    assert np.allclose(model.score_rows(x), by_hand) and np.mean((np.array(by_hand) > 0.5) == (y == 1)) > 0.95
+
+
 def test_classifier_without_labels(odd, spark):
     empty = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     model = rule_classifier.fit(odd, empty)
