@@ -1,4 +1,4 @@
-"""Script operators: formula statements over arrays and scalars, and Python functions over arrays."""
+"""Script operators: scripts over rows and scalars, and Python functions over arrays."""
 
 from __future__ import annotations
 
@@ -11,100 +11,79 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fluxgrid.model import Numbers, to_kind, zipped
-from fluxgrid.operators.flow import truth
-from fluxgrid.plans.formulas import compiled
+from fluxgrid.model import Numbers, beside, to_kind
+from fluxgrid.plans.javascript import Script
 
-ASSIGN = re.compile(r"^\s*([A-Za-z_]\w*)(?:\[(\d+)\])?\s*([-+*/]?)=(?!=)\s*(.+)$", re.S)
-
-
-def statements(text: str) -> list[tuple[str, int | None, str, str]]:
-    """(name, index, operator, formula) of assignments; anything else is refused."""
-    out = []
-    for part in filter(None, (p.strip() for p in re.split(r"[;\n]", text))):
-        if not (m := ASSIGN.match(part)):
-            raise ValueError(f"not an assignment: {part}")
-        out.append((m[1], int(m[2]) if m[2] else None, m[3], m[4]))
-    return out
-
-
-def applied(text: str, names: dict[str, Column | list[Column]]) -> dict[str, Column | list[Column]]:
-    """Names after assignments, each seeing the ones before."""
-    now = {k: list(v) if isinstance(v, list) else v for k, v in names.items()}
-    for name, index, op, formula in statements(text):
-        target = name if index is None else f"{name}[{index}]"
-        value = compiled(f"{target} {op} ({formula})" if op else formula, now)
-        if index is None:
-            now[name] = value
-        else:
-            now[name][index] = value
-    return now
+def as_numbers(values: list) -> list[Column]:
+    """Results of a script as columns."""
+    return [v if isinstance(v, Column) else F.lit(None if v is None else float(v)).cast("double") for v in values]
 
 
 def modify_named(x: Numbers, names: list[str], text: str = "x0 = x1 * p", **parameters: float) -> Numbers:
-    """Assignments to columns by name (or x0, x1...) in every row."""
-    bound: dict = {k: F.lit(float(v)) for k, v in parameters.items()}
+    """A script over the columns of every row by name (or x0, x1...); i is the row's number."""
+    bound: dict = {k: float(v) for k, v in parameters.items()}
     bound["i"] = F.col("_i").cast("double")
-    places = {}
-    for k, c in enumerate(x.columns):
-        for n in {f"x{k}", names[k] if k < len(names) else f"x{k}"}:
-            places[n] = k
-    values = [F.col(c).cast("double") for c in x.columns]
-    for name, _, op, formula in statements(text):
-        seen = {**bound, **{n: values[k] for n, k in places.items()}}
-        value = compiled(f"{name} {op} ({formula})" if op else formula, seen)
-        if name in places:
-            values[places[name]] = value
-        else:
-            bound[name] = value
-    return x.with_columns({c: to_kind(v, x.kind) for c, v in zip(x.columns, values)})
+    aliases = [[f"x{k}", *names[k : k + 1]] for k in range(x.block_length)]
+    start = {n: F.col(c).cast("double") for own, c in zip(aliases, x.columns) for n in own}
+    script = Script(text, {**bound, **start})
+    # both names of a column are one variable: the script sees it under its first name
+    other = {own[-1]: own[0] for own in aliases}
+    script.body = renamed(script.body, other)
+    script.run()
+    return x.with_columns({c: to_kind(v, x.kind) for c, v in zip(x.columns, as_numbers([script.names[own[0]] for own in aliases]))})
+
+
+def renamed(node, names: dict[str, str]):
+    """A parsed script with other names of variables."""
+    if isinstance(node, tuple) and node[:1] == ("name",):
+        return ("name", names.get(node[1], node[1]))
+    if isinstance(node, (tuple, list)):
+        return type(node)(renamed(x, names) for x in node)
+    return node
 
 
 def modify_several(inputs: dict[str, Numbers], text: str = "a[0] = a[0] * p + k", **parameters: float) -> dict[str, Numbers]:
-    """Assignments to elements of the rows of several arrays."""
-    df, names = zipped(*inputs.values())
-    bound: dict = {k: F.lit(float(v)) for k, v in parameters.items()}
-    bound |= {"i": F.col("_i").cast("double"), "k": F.col("_i").cast("double")}
-    bound |= {n: [F.col(c).cast("double") for c in own] for n, own in zip(inputs, names)}
-    now = applied(text, bound)
+    """A script over the elements of the rows of several arrays; i and k are the row's number."""
+    both, names = beside(*inputs.values())
+    place = F.col("_i").cast("double")
+    bound: dict = {**{k: float(v) for k, v in parameters.items()}, "i": place, "k": place}
+    script = Script(text, {**bound, **{n: [F.col(c).cast("double") for c in own] for n, own in zip(inputs, names)}})
+    script.run()
     out = {}
     for n, x in inputs.items():
-        cols = [to_kind(v, x.kind).alias(c) for c, v in zip(x.columns, now[n])]
-        out[n] = Numbers(df.select("_i", *cols), x.columns, x.kind)
+        found = as_numbers(script.names[n])
+        out[n] = both.with_columns({c: to_kind(v, x.kind) for c, v in zip(x.columns, found)}, x.kind)
     return out
 
 
-def scalar_formula(spark, formula: str = "a + b", **values: str | float) -> float | bool | None:
-    """A formula of scalars, evaluated in one row."""
-    names = {k: F.lit(float(v)) for k, v in values.items()}
-    return spark.range(1).select(compiled(formula, names).alias("v")).first()["v"]
+def scalar_formula(spark, formula: str = "a + b", functions: str = "", **values: str | float):
+    """The value of a script of scalars on the driver; numeric texts are numbers."""
+    names = {k: (float(v) if re.fullmatch(r"\s*[-+]?[0-9.]+(?:[eE][-+]?\d+)?\s*", str(v)) else v) for k, v in values.items()}
+    script = Script(f"{functions}\n{formula}", names)
+    return script.run()
 
 
-def repeat(start: dict[str, float], step: str, condition: str, most: int | None = None) -> dict[str, float]:
-    """Do-while over scalars: assignments, then a condition, both formulas."""
-    import ast
-    import math
-
-    from fluxgrid.plans.formulas import prepared
-
-    known = {"sqrt": math.sqrt, "abs": abs, "min": min, "max": max, "floor": math.floor, "ceil": math.ceil, "exp": math.exp, "log": math.log, "pow": pow}
-    allowed = (
-        ast.Expression, ast.BinOp, ast.UnaryOp, ast.BoolOp, ast.Compare, ast.IfExp, ast.Call, ast.Name, ast.Load, ast.Constant,
-        ast.operator, ast.unaryop, ast.boolop, ast.cmpop,
-    )
+def use(text: str, parameters: dict | None = None, inputs: dict | None = None, function: str = "execute") -> dict:
+    """A script on the driver: function(params, inputs, outputs) if there is one; outputs by name."""
+    outputs: dict = {}
+    script = Script(text, {"params": dict(parameters or {}), "inputs": dict(inputs or {}), "outputs": outputs})
+    found = script.run()
+    if function in script.names:
+        found = script.names[function](script.names["params"], script.names["inputs"], outputs)
+    outputs.setdefault("output", found)
+    return outputs
 
-    def value(formula: str, names: dict):
-        tree = ast.parse(prepared(formula).strip(), mode="eval")
-        if not all(isinstance(n, allowed) for n in ast.walk(tree)):
-            raise ValueError(f"the formula goes beyond arithmetic: {formula}")
-        return eval(compile(tree, "formula", "eval"), {"__builtins__": {}}, {**known, **names})  # noqa: S307
 
-    now, count = dict(start), 0
+def repeat(start: dict[str, float], step: str, condition: str, most: int | None = None) -> dict[str, float]:
+    """Do-while over scalars on the driver: a script, then a condition; i is the number of rounds."""
+    now, count = {k: float(v) for k, v in start.items()}, 0
     while True:
-        for name, _, op, formula in statements(step):
-            now[name] = value(f"{name} {op} ({formula})" if op else formula, {**now, "i": count})
+        script = Script(step, {**now, "i": float(count)})
+        script.run()
+        now = {k: v for k, v in script.names.items() if k != "i"}
         count += 1
-        if not truth(str(value(condition, {**now, "i": count}))) or (most is not None and count >= most):
+        go_on = Script(condition, {**now, "i": float(count)})
+        if not go_on.truth(go_on.run()) or (most is not None and count >= most):
             return {**now, "i": count}
 
 

@@ -222,7 +222,7 @@ SYSTEM = {
     "BlockJSModifyingNamedNumbers": "plans.scripts:modify_named",
     "BlockJSModifyingSeveralNumbers": "plans.scripts:modify_several",
     **{n: "plans.scripts:call" for n in ("CallPythonFunction", "InterpretPython", "CallPythonExternalFunction")},
-    **{n: "plans.scripts:modify_several" for n in ("UseJS", "CallJSFunction", "CallJSExternalFunction", "InterpretJS")},
+    **{n: "plans.scripts:use" for n in ("UseJS", "CallJSFunction", "CallJSExternalFunction", "InterpretJS")},
 }
 
 OPERATORS = {**NUMBERS, **FLOW, **SCALARS, **MATRICES, **SYSTEM}

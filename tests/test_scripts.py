@@ -32,7 +32,7 @@ def test_assignments(spark):
     out = scripts.modify_several({"a": x, "b": x}, "a[0] = a[0] * p + k; b[1] = a[0]", p=2)
     assert rows(out["a"]) == [(2.0, 2.0), (7.0, 4.0)] and rows(out["b"]) == [(1.0, 2.0), (3.0, 7.0)]
     with pytest.raises(ValueError):
-        scripts.statements("while (true) x")
+        scripts.modify_named(x, ["a", "b"], "while (a > 0) a -= 1")
 
 
 def test_scalar_formula_and_loop(spark):
@@ -43,6 +43,46 @@ def test_scalar_formula_and_loop(spark):
         scripts.repeat({"a": 1}, "a = a.real", "a < 100")
 
 
+def test_scripts_over_rows(spark):
+    """Branches, returns, unrolled loops and functions become expressions."""
+    x = literal_array(spark, [[1.0, 2.0], [3.0, 4.0], [-5.0, 0.0]])
+    text = """
+    function clip(v, low, high) { if (v < low) return low; if (v > high) { return high } return v }
+    var total = 0
+    for (var j = 0; j < 3; j++) { if (j == 1) continue; total += j * b }   // unrolled
+    if (a > 0 && b < 4) { a = clip(a * 10, 0, 15); b = total } else if (b === 0) b = -1
+    else { a = Math.max(a, b) / 0 }
+    """
+    found = scripts.modify_named(x, ["a", "b"], text)
+    assert rows(found) == [(10.0, 4.0), (float("inf"), 4.0), (-5.0, -1.0)]
+    assert "Python" not in found.df._jdf.queryExecution().executedPlan().toString()
+    out = scripts.modify_several({"m": x}, "for (let j = 0; j < m.length; j++) { m[j] = m[j] > 2 ? m[j] : k }")
+    assert rows(out["m"]) == [(0.0, 0.0), (3.0, 4.0), (2.0, 2.0)]
+
+
+def test_scripts_on_the_driver(spark):
+    text = """
+    /* sum, product and a text */
+    function fib(n) { return n < 2 ? n : fib(n - 1) + fib(n - 2); }
+    function execute(params, inputs, outputs) {
+        let list = [];
+        for (let k = 0; k < params.n; k++) { if (k % 2) continue; list.push(fib(k)); if (list.length >= 4) break }
+        outputs.list = list.join("; ");
+        outputs["text"] = inputs.name.toUpperCase() + ": " + 0.5 + " " + (typeof inputs.none);
+        let k = 10; do { k-- } while (k > 3);
+        outputs.k = k;
+        const square = v => v * v;
+        return square(3) ** 2 + {a: [1, 2]}.a[1];
+    }"""
+    found = scripts.use(text, {"n": 20.0}, {"name": "sum"})
+    assert found == {"list": "0; 1; 3; 8", "text": "SUM: 0.5 undefined", "k": 3.0, "output": 83.0}
+    assert scripts.scalar_formula(spark, "f(a) + name", "function f(v) { return v + 1 }", a="2", name="x") == "3x"
+    assert scripts.use("throwing = 1; throwing + 1")["output"] == 2
+    for bad in ("throw 'no'", "while (true) { }", "x = ", "1 +* 2", "unknown + 1", "Math.PI = 3", "a ="):
+        with pytest.raises(ValueError):
+            scripts.use(bad)
+
+
 def test_python_functions(spark, tmp_path):
     x = literal_array(spark, [[1.0], [2.0]])
     found = scripts.call_by_batches(x, lambda f: f.assign(d=f["c0"] * 2), ["d"], "float")
