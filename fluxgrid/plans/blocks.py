@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fluxgrid import registry
 from fluxgrid.operators.constants import number_text
+from fluxgrid.plans import scripts
 
 #: Parameters of block files under the names that functions have.
 ALIASES = {
@@ -117,13 +118,56 @@ def block(name: str) -> Callable[[dict, dict], dict]:
     return run
 
 
-def specified(folder: str) -> dict[str, Callable]:
-    """Blocks by id and name of the executor specifications (JSON files with a Java class) of a folder."""
+class Named(dict):
+    """Values by name, as items or as attributes."""
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return self.get(name)
+
+    def __setattr__(self, name: str, value) -> None:
+        self[name] = value
+
+
+def script_block(spec: dict, modules: Path) -> Callable | None:
+    """A block whose function is in a script module: execute(params, inputs, outputs) in its language."""
+    language = spec.get("language")
+    if language not in {"js", "python"} or language not in spec:
+        return None
+    name, function = spec[language].get("module", ""), spec[language].get("function") or "execute"
+    defaults = {c["name"]: c.get("default") for c in spec.get("controls", [])}
+
+    def run(values: dict, inputs) -> dict:
+        params = {**defaults, **values}
+        given = {k: inputs[k] for k in inputs}
+        if language == "js":
+            text = (modules / name).read_text(encoding="utf-8")
+            text = re.sub(r"(?m)^\s*import\b.*$|^\s*export\s+(?:default\s+)?", "", text)
+            return scripts.use(text, params, given, function)
+        path = modules / (name.replace(".", "/") + ".py")
+        loaded = scripts.function_of(str(path) if path.exists() else name, function)
+        outputs = Named()
+        result = loaded(Named(params), Named(given), outputs)
+        outputs.setdefault("output", result)
+        return dict(outputs)
+
+    return run
+
+
+def specified(folder: str, modules: str = ".") -> dict[str, Callable]:
+    """Blocks by id and name of the executor specifications (JSON files) of a folder.
+
+    A specification names a class, of which the registry has the operator, or a script module below ``modules``.
+    """
     out = {}
     for path in sorted(Path(folder).rglob("*.json")):
         spec = json.loads(path.read_text(encoding="utf-8"))
-        owner = ((spec.get("java") or {}) if isinstance(spec, dict) else {}).get("class", "").rpartition(".")[2]
-        if owner in registry.OPERATORS:
-            for key in filter(None, (spec.get("id"), spec.get("name"))):
-                out.setdefault(key, block(owner))
+        if not isinstance(spec, dict):
+            continue
+        owner = (spec.get("java") or {}).get("class", "").rpartition(".")[2]
+        found = block(owner) if owner in registry.OPERATORS else script_block(spec, Path(modules))
+        for key in filter(None, (spec.get("id"), spec.get("name"))):
+            if found:
+                out.setdefault(key, found)
     return out

@@ -9,12 +9,14 @@ refused.  Variables belong to their function; there are no classes, exceptions t
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LOG = logging.getLogger("fluxgrid")
 TOKEN = re.compile(
     r"(?P<space>[ \t\r\n]+|//[^\n]*|/\*.*?\*/)|(?P<number>0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)|(?P<name>[A-Za-z_$][\w$]*)"
     r"|(?P<text>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')|(?P<mark>===|!==|\*\*=|=>|==|!=|<=|>=|&&|\|\||\+\+|--|\*\*|[-+*/%]=|[-+*/%<>=!?:;,.(){}\[\]])",
@@ -346,6 +348,7 @@ def math_function(name: str):
 
 KNOWN = {
     "Math": {**{n: math_function(n) for n in MATH}, "PI": math.pi, "E": math.e}, "NaN": math.nan, "Infinity": math.inf,
+    "print": lambda *v: LOG.debug(" ".join(map(number_words, v))),
     "parseFloat": number, "parseInt": lambda v, base=10.0: float(int(float(v))) if base == 10 else float(int(str(v), int(base))), "Number": number, "String": number_words, "isNaN": lambda v: math.isnan(number(v)),
 }
 TEXT_METHODS = {

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fluxgrid.functions import scalars as S
 from fluxgrid.model import Matrix, array
 from fluxgrid.operators import arithmetic as A
-from fluxgrid.operators import constants, drawing, flow, tables
+from fluxgrid.operators import constants, drawing, examples, flow, tables
 from fluxgrid.operators import matrices as M
 from fluxgrid.operators import shapes as P
 from fluxgrid.operators import statistics as T
@@ -51,6 +51,25 @@ elementwise("python_by_batches", lambda x: scripts.call_by_batches(x, lambda f:
 elementwise("named_columns", lambda x: tables.named_columns([(x.slice(0, 1), ["v"]), (x, ["w", "u"])], ["v", "u"]).with_columns({"value": F.col("v"), "user_id": F.col("u")}), "value", "user_id")
 
 
+elementwise("script_of_branches", lambda x: scripts.modify_named(x, ["a", "b"], "function cut(v, high) { if (v > high) { return high } return v }\nif (a > 50 && b < 60) { a = cut(a * 2, 150) } else if (b >= 60) a = -1\nfor (var j = 0; j < 3; j++) b += j"),
+            "CASE WHEN value > 50 AND user_id < 60 THEN least(value * 2, 150) WHEN user_id >= 60 THEN -1 ELSE value END", "user_id + 3")
+elementwise("example_doubled", lambda x: examples.doubled(x.df.sparkSession, x), "2 * value", "2 * user_id")
+
+
+@query("script_on_the_driver", "SELECT '0; 1; 3; 8' AS list, 'SUM' AS text, 83.0 AS output")
+def script_on_the_driver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script with functions, loops, arrays and texts."""
+    text = """function fib(n) { return n < 2 ? n : fib(n - 1) + fib(n - 2) }
+    function execute(params, inputs, outputs) {
+        let list = []
+        for (let k = 0; k < params.n; k++) { if (k % 2) continue; list.push(fib(k)) }
+        outputs.list = list.join("; ")
+        outputs.text = inputs.name.toUpperCase()
+        return 9 ** 2 + [1, 2][1]
+    }"""
+    return literal(spark, **scripts.use(text, {"n": 7.0}, {"name": "sum"}))
+
+
 @query("numbers_are_equal", "SELECT true AS copied, count(*) FILTER (value <> value) = 0 AS same FROM events")
 def numbers_are_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An array against its copy in another plan."""
@@ -263,6 +282,10 @@ def scripts_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # matrices: vectors, colours, statistics, sizes
 
+matrix("example_created", lambda m: examples.created(m.df.sparkSession, W, H, 3), ", ".join(f"(((y * {W} + x) * 3 + {c}) * {c + 1}) % 256::DOUBLE AS ch{c}" for c in range(3)))
+matrix("example_increased", lambda m: examples.increased(m, 70), each("($ + 70) % 256"))
+matrix("example_function", lambda m: examples.function_of_place(m.df.sparkSession, W, H), ", ".join(f"floor(CASE WHEN y < {H / 4} THEN x WHEN y < {H / 2} THEN {'x / 2.0' if c == 0 else '0'} ELSE x * y * {c + 1} / 10.0 END)::BIGINT % 256::DOUBLE AS ch{c}" for c in range(3)))
+
 VX, VY = "(ch0 - 100.0)", "(ch1 - 100.0)"
 
 

@@ -225,7 +225,16 @@ SYSTEM = {
     **{n: "plans.scripts:use" for n in ("UseJS", "CallJSFunction", "CallJSExternalFunction", "InterpretJS")},
 }
 
-OPERATORS = {**NUMBERS, **FLOW, **SCALARS, **MATRICES, **SYSTEM}
+EXAMPLES = {
+    "ExampleSNumbers": "operators.examples:doubled",
+    "ExampleSMatCreate": "operators.examples:created",
+    "ExampleSMatIncreaseBytes": "operators.examples:increased",
+    "ExampleSMatFunction": "operators.examples:function_of_place",
+    "ExampleResultIsSometimesNull": "operators.examples:sometimes_missing",
+    "ExampleSScalar": "registry:identity",
+}
+
+OPERATORS = {**EXAMPLES, **NUMBERS, **FLOW, **SCALARS, **MATRICES, **SYSTEM}
 
 
 def identity(x):

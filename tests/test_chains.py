@@ -117,3 +117,17 @@ def test_fixture_like_factorial(spark):
         assert float(chains.Chain.read(text).run(chains.scalar_registry(), parameters={"n": n})["output"]) == want
     with pytest.raises(ValueError):
         chains.Chain.read(text).run(chains.scalar_registry(), parameters={"n": 0})
+
+
+def test_script_specifications(tmp_path):
+    """Blocks whose functions are in script modules."""
+    (tmp_path / "specs").mkdir()
+    head = {"id": "js-1", "name": "Sum by script", "language": "js", "js": {"module": "own/sum.mjs"}, "controls": [{"name": "a", "default": 1.0}, {"name": "b", "default": 2.0}]}
+    (tmp_path / "specs" / "js.json").write_text(json.dumps(head))
+    (tmp_path / "specs" / "py.json").write_text(json.dumps({**head, "id": "py-1", "name": "Sum by Python", "language": "python", "python": {"module": "own.sums"}}))
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own" / "sum.mjs").write_text("export function execute(params, inputs, outputs) {\n outputs.output = parseFloat(params.a) + parseFloat(params.b)\n print(outputs.output)\n return 'Hi'\n}")
+    (tmp_path / "own" / "sums.py").write_text("def execute(params, inputs, outputs):\n    outputs.s = inputs.x\n    return params.a + params['b']\n")
+    found = blocks.specified(str(tmp_path / "specs"), str(tmp_path))
+    assert found["js-1"]({"a": 5.0}, {})["output"] == 7.0 and found["Sum by script"]({}, {})["output"] == 3.0
+    assert found["py-1"]({"b": 3.0}, {"x": "text"}) == {"s": "text", "output": 4.0}
