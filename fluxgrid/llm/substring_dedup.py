@@ -339,12 +339,13 @@ def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, family = None, None
     for b in batches:
         out = []
-        cols = [b.column(c).to_pylist() for c in ("root", "salt", "kind", "doc_id", "key", "start", "words")]
-        for root, salt, kind, doc, key, start, words in zip(*cols):
+        cols = [b.column(c).to_pylist() for c in ("root", "salt", "kind", "doc_id", "key", "start", "words", "passages")]
+        for root, salt, kind, doc, key, start, words, given in zip(*cols):
             if (root, salt) != now:
                 now, family = (root, salt), Family()
             if kind == 0:
-                family.add(doc, words)
+                for passage in given:
+                    family.add(passage["doc_id"], passage["words"])
             elif family.passages:
                 out += [(doc, key, start + a, start + z) for a, z in family.covered(doc, words)]
         yield batch_of(
@@ -371,10 +372,14 @@ def located(found: DataFrame, span: DataFrame) -> DataFrame:
         "root", F.pmod(F.xxhash64("doc_id", "start"), salts).cast("int").alias("salt"),
         F.lit(1).alias("kind"), "doc_id", "key", "start", "words",
     )
-    phrases = found.withColumn("part", part("words")).join(sized, ["root", "part"], "left").select(
-        "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"),
-        F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("binary").alias("key"), F.lit(0).cast("long").alias("start"), "words",
+    # the passages of a part of a family go as one row to each of its tasks
+    packed = found.groupBy("root", part("words").alias("part")).agg(F.collect_list(F.struct("doc_id", "words")).alias("passages"))
+    none = F.lit(None)
+    phrases = packed.join(sized, ["root", "part"], "left").select(
+        "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("kind"), none.cast(id_kind(span)).alias("doc_id"),
+        none.cast("binary").alias("key"), F.lit(0).cast("long").alias("start"), none.cast("string").alias("words"), "passages",
     )
+    docs = docs.withColumn("passages", none.cast(packed.schema["passages"].dataType))
     rows = phrases.unionByName(docs).repartition("root", "salt").sortWithinPartitions("root", "salt", "kind")
     return map_arrow(rows, streamed, f"doc_id {id_kind(rows)}, key binary, first long, end long")
 
