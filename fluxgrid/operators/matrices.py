@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxgrid.model import MAX_POSSIBLE, Matrix, Numbers, extreme_of, paired, to_kind
@@ -314,8 +315,20 @@ def axis_sources(spark, new: int, old: int, mode: str, axis: str) -> DataFrame:
     )
 
 
-def resized(m: Matrix, width: int, height: int, mode: str = "AVERAGING") -> Matrix:
-    """Another size, axis by axis.
+def percent_size(m: Matrix, width: float | None, height: float | None, percents: bool) -> tuple[int, int]:
+    """Sizes in pixels, given in pixels or percents; a missing one keeps the aspect."""
+    w, h = m.dims[:2]
+    if width is None and height is None:
+        raise ValueError("no size")
+    if percents:
+        width, height = (None if v is None else v * n / 100 for v, n in ((width, w), (height, h)))
+    width = height * w / h if width is None else width
+    height = width * h / w if height is None else height
+    return max(1, math.floor(width + 0.5)), max(1, math.floor(height + 0.5))
+
+
+def resized(m: Matrix, width: float | None, height: float | None, mode: str = "AVERAGING", percents: bool = False) -> Matrix:
+    """Another size in pixels or percents, axis by axis; a missing size keeps the aspect.
 
     Where an axis grows, the averaging modes take the nearest pixel; where it shrinks, the mean, least or largest of a
     block.  BILINEAR interpolates between pixel centres on both axes; AVERAGING_BILINEAR does so where an axis grows and
@@ -323,6 +336,7 @@ def resized(m: Matrix, width: int, height: int, mode: str = "AVERAGING") -> Matr
     """
     if mode not in RESIZING:
         raise ValueError(f"unknown resizing mode {mode}")
+    width, height = percent_size(m, width, height, percents)
     w, h = m.dims[:2]
     reduce = {"AVERAGING_MIN": F.min, "AVERAGING_MAX": F.max}.get(mode, F.avg)
     if mode != "NEAREST" and "BILINEAR" not in mode and width <= w and height <= h:
@@ -366,13 +380,12 @@ def flattened(m: Matrix) -> Matrix:
 
 
 def dilated(m: Matrix, size: int) -> Matrix:
-    """Largest value in a square of odd size around each pixel, one axis after the other."""
+    """Largest value in a square of odd size around each pixel, one axis after the other, by windows along lines."""
     r = size // 2
     df = m.df
-    for axis in ("x", "y"):
-        limit = m.dims[0 if axis == "x" else 1]
-        spread = df.withColumn(axis, F.explode(F.sequence(F.col(axis) - r, F.col(axis) + r))).where(F.col(axis).between(0, limit - 1))
-        df = spread.groupBy("x", "y").agg(*[F.max(c).alias(c) for c in m.names])
+    for line, along in (("y", "x"), ("x", "y")):
+        near = Window.partitionBy(line).orderBy(along).rangeBetween(-r, r)
+        df = df.select("x", "y", *[F.max(c).over(near).alias(c) for c in m.names])
     return replace(m, df=df)
 
 

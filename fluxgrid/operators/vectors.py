@@ -122,22 +122,70 @@ def merge_colours(inputs: list[Matrix], space: str = "RGB", kind: str = "byte")
     return m if space == "RGB" else {"HSV": from_hsv, "HLS": from_hls}[space](m, kind)
 
 
-def contrast(m: Matrix, low: float = 0.0, high: float = 1.0) -> Matrix:
-    """The range between two percentiles of the intensity stretched to the whole range."""
-    from fluxgrid.operators.matrices import intensity, pixels
+LIMITS = ("PERCENTILE_BETWEEN_MIN_AND_MAX", "VALUE_BETWEEN_MIN_AND_MAX", "ABSOLUTE_VALUE")
+
+
+def contrast(
+    m: Matrix, low: float = 0.0, high: float = 1.0, low_kind: str = LIMITS[0], high_kind: str = LIMITS[0], by_channel: bool = False
+) -> Matrix:
+    """The range between two limits of the intensity stretched to the whole range.
+
+    A limit is a percentile, a share between the least and the largest intensity, or an absolute value as a share of
+    the largest possible one.  Colours keep their hue: all channels of a pixel grow by the ratio of its new and its
+    old intensity, unless channels are to be stretched one by one.
+    """
+    from fluxgrid.operators.matrices import intensity, luma, pixels
     from fluxgrid.operators.statistics import percentiles
 
-    found = {r["level"]: r["value"] for r in percentiles(pixels(intensity(m)), [low, high]).collect()}
-    a, b = found[low], found[high]
+    grey = pixels(intensity(m))
+    v = F.col(grey.columns[0]).cast("double")
+    least, most = grey.df.agg(F.min(v), F.max(v)).first()
+
+    def limit(kind: str, share: float) -> float:
+        if kind == "ABSOLUTE_VALUE":
+            return share * m.top
+        if kind == "VALUE_BETWEEN_MIN_AND_MAX":
+            return least + (most - least) * share
+        return percentiles(grey, [share]).first()["value"]
+
+    a, b = limit(low_kind, low), limit(high_kind, high)
     if a == b:
         return m
 
-    def f(c: Column) -> Column:
+    def stretched(c: Column) -> Column:
         value = (c.cast("double") - a) * (m.top / (b - a))
-        value = F.least(F.greatest(value, F.lit(0.0)), F.lit(float(m.top)))
-        return F.floor(value + 0.5) if m.kind not in {"float", "double"} else value
+        return F.least(F.greatest(value, F.lit(0.0)), F.lit(float(m.top)))
+
+    whole = (lambda c: F.floor(c + 0.5)) if m.kind not in {"float", "double"} else (lambda c: c)
+    if m.channels < 3 or by_channel:
+        return m.map(lambda c: whole(stretched(c)))
+    old = luma(m.names[:3], False)
+    ratio = F.when(old == 0, F.lit(0.0)).otherwise(stretched(old) / old)
+    colours = [whole(F.least(F.col(c).cast("double") * ratio, F.lit(float(m.top)))) for c in m.names[:3]]
+    return m.of([*colours, *[F.col(c) for c in m.names[3:]]])
 
-    return m.map(f)
+
+def image_histogram(m: Matrix, mask: Matrix | None = None, bins: int = 256, kind: str = "UNIFORM_256") -> DataFrame:
+    """channel, bin, n under a mask: bins over the whole range of the kind, or (RANGE_BASED) over least to largest."""
+    if mask is not None:
+        df, names = paired(m, mask)
+        rows, own = df.where(F.col(names[1][0]).cast("double") != 0), names[0]
+    else:
+        rows, own = m.df, m.names
+    flat = rows.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in own])).alias("channel", "v"))
+    if kind == "UNIFORM_256":
+        bins, ends = 256, None
+        place = F.least(F.floor(F.col("v") * (256.0 / (m.top + (1 if m.top > 1 else 0)))), F.lit(255))
+    else:
+        ends = flat.groupBy("channel").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        # a row for each channel
+        flat = flat.join(F.broadcast(ends), "channel")
+        width = (F.col("high") - F.col("low")) / bins
+        place = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), width)), F.lit(bins - 1)))
+    found = flat.groupBy("channel", place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    spark = m.df.sparkSession
+    every = spark.range(m.channels * bins).select(F.floor(F.col("id") / bins).cast("int").alias("channel"), F.pmod("id", F.lit(bins)).cast("int").alias("bin"))
+    return every.join(found, ["channel", "bin"], "left").select("channel", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def image_statistics(m: Matrix, mask: Matrix | None = None, low: float = 0.1, high: float = 0.9) -> DataFrame:

@@ -306,6 +306,11 @@ matrix("matrix_grey", lambda m: M.with_channels(m, 1), "floor(0.299::DOUBLE * ch
 matrix("matrix_four_channels", lambda m: M.with_channels(m, 4), each("$") + ", 255::DOUBLE AS ch3")
 matrix("matrix_raw_cast", lambda m: M.precision(m, "float", True), each("$"))
 matrix("matrix_contrast", lambda m: V.contrast(m.of([F.col("ch0")]), 0.0, 1.0), "floor(ch0 * 255.0 / (SELECT max((x * 6) % 256) FROM range(40) r(x)) + 0.5)::DOUBLE AS ch0")
+matrix("matrix_contrast_shares", lambda m: V.contrast(m.of([F.col("ch1")]), 0.25, 0.75, "VALUE_BETWEEN_MIN_AND_MAX", "ABSOLUTE_VALUE"), "floor(least(greatest((ch1 - 0.25 * 232) * 255 / (0.75 * 255 - 0.25 * 232), 0), 255) + 0.5)::DOUBLE AS ch0")
+matrix("matrix_contrast_colours", lambda m: V.contrast(M.precision(m, "float", True).map(lambda c: c / 255.0), 0.2, 0.6, "ABSOLUTE_VALUE", "ABSOLUTE_VALUE"),
+       ", ".join(f"round((CASE WHEN g = 0 THEN 0 ELSE least(c{k} * least(greatest((g - 0.2::DOUBLE) / (0.6::DOUBLE - 0.2::DOUBLE), 0), 1) / g, 1) END)::FLOAT::DOUBLE, 4) AS ch{k}" for k in range(3)),
+       f"SELECT *, 0.299::DOUBLE * c0 + 0.587::DOUBLE * c1 + 0.114::DOUBLE * c2 AS g FROM (SELECT x, y, (ch0 / 255.0::DOUBLE)::FLOAT::DOUBLE AS c0, (ch1 / 255.0::DOUBLE)::FLOAT::DOUBLE AS c1, (ch2 / 255.0::DOUBLE)::FLOAT::DOUBLE AS c2 FROM ({BASE}))", 4)
+matrix("matrix_percent_size", lambda m: M.resized(m, 50, None, percents=True), each("floor($ + 0.5)"), f"SELECT x // 2 AS x, y // 2 AS y, avg(ch0) AS ch0, avg(ch1) AS ch1, avg(ch2) AS ch2 FROM ({BASE}) GROUP BY 1, 2")
 matrix("matrix_layer", lambda m: M.layer(M.interpolated(m.of([F.col("ch0")], "float"), m.of([F.col("ch1")], "float"), 3), -2), "round((ch0 * 0.5 + ch1 * 0.5)::FLOAT::DOUBLE, 5) AS ch0")
 matrix("matrix_flattened", lambda m: M.flattened(M.interpolated(m.of([F.col("ch0")], "float"), m.of([F.col("ch1")], "float"), 2)), "round(v::FLOAT::DOUBLE, 5) AS ch0", f"SELECT x, y, ch0 AS v FROM ({BASE}) UNION ALL SELECT x, y + {H}, ch1 FROM ({BASE})")
 matrix("matrix_switch", lambda m: flow.switch(2, [m, lambda: M.inverted(m)]), each("255 - $"))
@@ -338,6 +343,15 @@ def image_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("channel", "percentile_1", "percentile_2", "number_of_checked_pixels", F.round("mean", 6).alias("mean"), F.round("mean_between_percentiles", 6).alias("between_limits"))
 
 
+@query("image_histogram", f"""SELECT 'uniform' AS kind, c AS channel, g AS bin, count(v) AS n FROM range(2) t(c), range(256) u(g) LEFT JOIN (SELECT 0 AS channel, ch0 AS v FROM ({BASE}) UNION ALL SELECT 1, ch1 FROM ({BASE})) ON channel = c AND v = g GROUP BY 1, 2, 3
+    UNION ALL SELECT 'range', c, g, count(v) FROM range(2) t(c), range(4) u(g) LEFT JOIN (SELECT 0 AS channel, ch0 AS v, 234.0 AS top FROM ({BASE}) UNION ALL SELECT 1, ch1, 232.0 FROM ({BASE})) ON channel = c AND least(floor(v / (top / 4)), 3) = g GROUP BY 1, 2, 3""")
+def image_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of two channels over the whole range and over least to largest."""
+    m = base(spark).of([F.col("ch0"), F.col("ch1")])
+    every = V.image_histogram(m).select(F.lit("uniform").alias("kind"), "channel", "bin", "n")
+    return every.union(V.image_histogram(m, None, 4, "RANGE_BASED").select(F.lit("range"), "channel", "bin", "n"))
+
+
 @query("matrix_box_text", "SELECT '6 12\n6 12' AS text")
 def matrix_box_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of a box of a matrix."""
