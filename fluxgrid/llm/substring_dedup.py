@@ -43,7 +43,7 @@ WINDOW, GRAM = 50, 20
 #: Phrases start at every STEP-th word of a passage and at its last place, so each window holds a whole one.
 STEP = WINDOW - GRAM + 1
 #: Words that a worker's cache of hashes holds, phrases in one automaton, bytes and number of spans for one task.
-MAX_WORDS, MAX_PHRASES, TASK_BYTES, TASK_SPANS = 200_000, 50_000, 4 << 20, 256
+MAX_WORDS, MAX_PHRASES, TASK_BYTES, TASK_SPANS = 200_000, 50_000, 4 << 20, 128
 #: Parts into which the rows of one family are dealt before they meet its size, and bytes of remembered spans.
 PARTS, MEMO_BYTES = 64, 4 << 20
 
@@ -380,7 +380,9 @@ def located(found: DataFrame, span: DataFrame) -> DataFrame:
         none.cast("binary").alias("key"), F.lit(0).cast("long").alias("start"), none.cast("string").alias("words"), "passages",
     )
     docs = docs.withColumn("passages", none.cast(packed.schema["passages"].dataType))
-    rows = phrases.unionByName(docs).repartition("root", "salt").sortWithinPartitions("root", "salt", "kind")
+    # automata take far more time for a byte than a shuffle does: tasks are not to be merged by their bytes
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = phrases.unionByName(docs).repartition(n, "root", "salt").sortWithinPartitions("root", "salt", "kind")
     return map_arrow(rows, streamed, f"doc_id {id_kind(rows)}, key binary, first long, end long")
 
 
