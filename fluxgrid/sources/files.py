@@ -49,35 +49,47 @@ def added(path: str, name: str, mode: str = "NONE") -> str:
 def read_csv(spark: SparkSession, path: str, kind: str = "auto", skipped: int = 0) -> tuple[Numbers, list[str]]:
     """Numbers split by commas, semicolons and white space; a first line that holds no numbers is a header.
 
-    Short rows are padded with 0; the first line gives the width.  Line positions are those of the files.
+    The files of a folder follow in the order of their paths, each without its own skipped lines and header.  Short
+    rows are padded with 0; the first line of the first file gives the width and the names.  Blank lines don't count.
     """
-    first = [r[0] for r in spark.read.text(path).limit(skipped + 2).collect()][skipped:]
-    cells = [c for c in re.split(r"[,;\s]+", first[0].strip("﻿ \t")) if c] if first else []
-
-    def is_number(text: str) -> bool:
-        try:
-            float(text)
-            return True
-        except ValueError:
-            return False
-
-    header = bool(cells) and not all(map(is_number, cells))
+    texts = spark.read.text(path).where(F.trim("value") != "").select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+    parts = F.filter(F.split(F.trim("value"), r"[,;\s]+"), lambda c: c != "")
+    is_header = F.exists(parts, lambda c: c.try_cast("double").isNull())
+    cells, header = first_line(spark, path, texts.select("_file", parts.alias("cells"), is_header.alias("header")), skipped)
     width = len(cells)
     if kind == "auto":
         kind = next((k for k in NUMPY if header and cells[0].startswith(k)), "float")
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
-    )
-    # ids ascend within a split without gaps; a row for each split tells how many lines are before it
-    lines = lines.where(F.trim("value") != "").select("value", "_file", "_block", F.monotonically_increasing_id().alias("_line"))
+    # ids ascend within a split without gaps; a row for each split tells how many lines of its file are before it
+    lines = texts.withColumn("_line", F.monotonically_increasing_id())
     splits = lines.groupBy("_file", "_block").agg(F.min("_line").alias("_first"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = splits.select("_file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_move"))
-    place = F.col("_line") + F.col("_move") - skipped - int(header)
-    parts = F.filter(F.split(F.trim("value"), r"[,;\s]+"), lambda c: c != "")
-    numbered = lines.join(F.broadcast(starts), ["_file", "_block"]).select(place.cast("bigint").alias("_i"), parts.alias("p"))
+    before = lambda n, order: F.coalesce(F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    move = before("_n", Window.partitionBy("_file").orderBy("_block")) - F.col("_first")
+    starts = splits.select("_file", "_block", move.alias("_move"), F.sum("_n").over(Window.partitionBy("_file")).alias("_lines"))
+    placed = lines.join(F.broadcast(starts), ["_file", "_block"]).withColumn("_place", F.col("_line") + F.col("_move"))
+    # a row for each file that has any tells how many of its lines are no rows and how many rows are in the files before
+    none = skipped + is_header.cast("bigint")
+    heads = placed.where(F.col("_place") == skipped).select("_file", "_lines", none.alias("_none"))
+    rows_before = before(F.col("_lines") - F.col("_none"), Window.orderBy("_file"))
+    moves = heads.select("_file", "_none", (rows_before - F.col("_none")).alias("_shift"))
+    numbered = placed.join(F.broadcast(moves), "_file").where(F.col("_place") >= F.col("_none"))
+    numbered = numbered.select((F.col("_place") + F.col("_shift")).cast("bigint").alias("_i"), parts.alias("p"))
     cols = [to_kind(F.coalesce(F.get("p", F.lit(k)).try_cast("double"), F.lit(0.0)), kind).alias(f"c{k}") for k in range(width)]
-    return Numbers(numbered.where("_i >= 0").select("_i", *cols), tuple(f"c{k}" for k in range(width)), kind), (cells if header else [])
+    return Numbers(numbered.select("_i", *cols), tuple(f"c{k}" for k in range(width)), kind), (cells if header else [])
+
+
+def first_line(spark: SparkSession, path: str, lines: DataFrame, skipped: int) -> tuple[list[str], bool]:
+    """Cells of the first line behind the skipped ones, in the order of paths, and whether it is a header."""
+    names = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("_metadata.file_path").alias("_file"))
+    name = names.agg(F.min("_file")).first()[0]
+    while name is not None:
+        found = lines.where(F.col("_file") == name).limit(skipped + 1).collect()
+        if len(found) > skipped:
+            return found[skipped].cells, found[skipped].header
+        # all lines of the file are blank or skipped
+        name = names.where(F.col("_file") > name).agg(F.min("_file")).first()[0]
+    return [], False
 
 
 def write_csv(x: Numbers, path: str, names: list[str] | None = None, delimiter: str = ",") -> None:

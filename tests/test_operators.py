@@ -168,6 +168,45 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(r.a for r in spark.read.csv(str(tmp_path / "out"), header=True, inferSchema=True).collect()) == [1.5, 3.0, 5.0]
 
 
+def test_csv_of_many_files(spark, tmp_path):
+    """Every file that write_csv leaves has a header, which is no row."""
+    n = 400
+    x = Numbers(spark.range(n).selectExpr("id AS _i", "id / 4 AS a", "-id * 1.5D AS b").repartition(3), ("a", "b"))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        files.write_csv(x, str(tmp_path / "out"), ["price", "size"])
+        assert len(list((tmp_path / "out").glob("part-*"))) > 1
+        for size, cost in (("128m", "4m"), ("1k", "0"), ("50", "0")):  # splits of whole files, of parts and of a few lines
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            found, header = files.read_csv(spark, str(tmp_path / "out"), "double")
+            assert header == ["price", "size"] and rows(found) == [(k / 4, -k * 1.5) for k in range(n)]
+            assert [r[0] for r in found.df.select("_i").orderBy("_i").collect()] == list(range(n))
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+
+
+def test_csv_files_with_and_without_headers(spark, tmp_path):
+    """The first file in the order of paths, not the longest, gives the width; skipped lines are those of each file."""
+    texts = {"a": "note\nu v;w\n", "b c": "\n\nnote\n\n1 2\n3,4,5,6\n", "d": "", "e": "note\np,q\n" + "7 8 9\n" * 20, "f": "note\n", "g": "note\n1e3,x\n0 0 1\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    found, header = files.read_csv(spark, str(tmp_path), "double", skipped=1)
+    assert header == ["u", "v", "w"]
+    assert [tuple(r) for r in found.df.orderBy("_i").collect()] == [
+        (k, *r) for k, r in enumerate([(1.0, 2.0, 0.0), (3.0, 4.0, 5.0), *[(7.0, 8.0, 9.0)] * 20, (0.0, 0.0, 1.0)])
+    ]
+    (tmp_path / "bom").mkdir()
+    (tmp_path / "bom" / "x.csv").write_bytes(b"\xef\xbb\xbf1;2\n3;4\n")
+    found, header = files.read_csv(spark, str(tmp_path / "bom" / "x.csv"))
+    assert header == [] and rows(found) == [(1.0, 2.0), (3.0, 4.0)]
+    (tmp_path / "blank").mkdir()
+    (tmp_path / "blank" / "x.csv").write_text("\n \n")
+    assert files.read_csv(spark, str(tmp_path / "blank"))[0].df.count() == 0
+
+
 def test_raw_files_go_on_in_the_order_of_paths(spark, tmp_path):
     import numpy as np
 
