@@ -73,9 +73,9 @@ def op1_sql() -> str:
 
 #: Mix of the pipeline: 99 % of the largest entropy unless a source would be read more than twice; none is cut.
 MIX = mixing.Mix()
-#: Mix of the query: as even as a limit of 1.02 epochs allows, over a budget of 0.95 of all tokens, in blocks of
-#: 5,000 tokens, so that small sources repeat and large ones are read in part.
-EVEN_MIX = mixing.Mix(entropy=1.0, repeats=1.02, block=5_000, share=0.95)
+#: Mix of the query: 99.99 % of the largest entropy unless a source would be read more than four times, in blocks of
+#: 5,000 tokens; the largest source is read once and none is cut, so small ones repeat as often as evenness asks.
+EVEN_MIX = mixing.Mix(entropy=0.9999, repeats=4.0, block=5_000)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

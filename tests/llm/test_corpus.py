@@ -216,6 +216,22 @@ def test_mix_reaches_its_targets(spark):
     assert mixing.mix_rows(docs, mixing.Mix(block=100)).columns == docs.columns
 
 
+def test_query_mixes_sources_whole(spark, tmp_path):
+    """The query leaves no document out and repeats small sources until weights are even or four epochs are reached."""
+    rows = [(k, "w " * 50, s) for k, s in enumerate(["small"] * 20 + ["middle"] * 60 + ["large"] * 600)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for where, repeats in ((DATA, None), (str(tmp_path), {"small": 4.0, "large": 1.0})):
+        drawn = Q.op2_mixing(spark, where).collect()
+        assert len(drawn) == spark.read.parquet(f"{where}/documents.parquet").count()
+        assert min(r.n_copies for r in drawn) == 1 and sum(r.n_copies > 1 for r in drawn) * 10 > len(drawn)
+        epochs, weight = {r.source: r.epochs for r in drawn}, {r.source: r.weight for r in drawn}
+        entropy = -sum(w * np.log(w) for w in weight.values()) / np.log(len(weight))
+        if repeats is None:
+            assert entropy >= 0.9999 - 1e-5 and 1.5 < max(epochs.values()) <= 4
+        else:
+            assert entropy < 0.99 and {s: round(epochs[s], 4) for s in repeats} == repeats and 2 < epochs["middle"] < 4
+
+
 def test_one_of_each_keeps_every_different_text(spark):
     """Repeated and null ids: one row of each component, the same one in any order of rows."""
     texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
